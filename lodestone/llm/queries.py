@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document (see ``mixing.mixed``)."""
+    rows = mixing.mixed(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return rows.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark each document holds (see ``decontaminate.scanned``)."""
+    rows = decontaminate.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id",
+        "__scan.n_words",
+        "__scan.n_hit",
+        F.size("__scan.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__scan.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}

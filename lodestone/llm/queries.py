@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (see ``simhash.components``)."""
+    rows = simhash.components(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the benchmark each document holds (see ``decontaminate.scanned``)."""
     rows = decontaminate.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -42,5 +48,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}

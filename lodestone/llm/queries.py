@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the shards (see ``tokens``)."""
+    return tokens.documents(tokens.shards(_table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the benchmark each document holds (see ``decontaminate.scanned``)."""
     rows = decontaminate.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -50,6 +55,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,

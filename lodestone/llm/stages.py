@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, mixing, quality, tokens
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,4 +13,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs).where("__kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a window of any benchmark item. (Here one item is enough to lose a document: a leak of one
+    question is a leak.)"""
+    rows = decontaminate.scanned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.where(F.size("__scan.items") == 0).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: whole copies of documents and ranges of their words, with n_chars of the text that each row has."""
+    return mixing.taken(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' places, lengths and checksums in the written token files."""
+    return tokens.documents(tokens.shards(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]

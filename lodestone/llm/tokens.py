@@ -23,8 +23,9 @@ END_ID = 2
 #: Tokens at which a shard is closed; it ends with a whole document.
 SHARD_TOKENS = 1_000_000
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _CHUNK = 64
+_TOGETHER = 256
 
 SHARDS = "part long, seq long, n_tokens long, doc_ids array<long>, image binary"
 
@@ -53,38 +54,66 @@ class Encoder:
         self.first: dict[str, bytes] = {}  # of words at the start of a line
         self.later: dict[str, bytes] = {}  # of words after a space
         self.line = self._whole("\n")
+        self.ends = {c: self._whole(c) for c in ".,"}
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")  # how the vocabulary writes a space
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, kept: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(kept))
+    def _learn(self, words: set[str]) -> None:
+        """Keep the ids of `` word`` for each new word. Encoded many at once: only a word's first id starts with a space.
+
+        A full stop or comma after letters is an id of its own, so such a word needs only the word without it.
+        """
+        kept = self.later
+        new = words.difference(kept)
         if len(kept) + len(new) > CACHE_WORDS:
             kept.clear()
-            new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch([before + w for w in new], add_special_tokens=False), strict=True):
-            kept[word] = np.array(e.ids, self.kind).tobytes()
+            new = words
+        ended = [w for w in new if w[-1] in self.ends and w[:-1].isalpha()]
+        plain = list(new.difference(ended).union(w[:-1] for w in ended).difference(kept))
+        texts = ["".join([" " + w for w in plain[i : i + _TOGETHER]]) for i in range(0, len(plain), _TOGETHER)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = np.nonzero(self.spaced[ids])[0].tolist()
+            group = plain[i * _TOGETHER : (i + 1) * _TOGETHER]
+            if len(cuts) != len(group):  # a word with a special token's text, which may stand after a space by itself
+                kept.update((w, self._whole(" " + w)) for w in group)
+                continue
+            raw, size = ids.tobytes(), self.kind.itemsize
+            for word, x, y in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
+                kept[word] = raw[x * size : y * size]
+        for word in ended:
+            kept[word] = kept[word[:-1]] + self.ends[word[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parsed, first, later = [], set(), set()
+        parsed = []
         for text in texts:
             words = text.split()
             single = text.count(" ") + text.count("\n")
-            if not words or len(words) != single + 1 or len(text) - sum(map(len, words)) != single:
-                parsed.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            first.update(line[0] for line in lines)
-            later.update(words)
-            parsed.append(lines)
-        self._learn(self.first, first, "")
-        self._learn(self.later, later, " ")
-        out, head, rest = [], self.first, self.later
-        for text, lines in zip(texts, parsed, strict=True):
-            if lines is None:
+            # White space is single spaces and line breaks between words only.
+            fit = words and len(words) == single + 1 and len(text) - len("".join(words)) == single
+            parsed.append(words if fit else None)
+        self._learn(set().union(*[w for w in parsed if w]))
+        heads = self.first
+        out = []
+        for text, words in zip(texts, parsed, strict=True):
+            if words is None:
                 raw = self._whole(text) if text else b""
             else:
-                raw = self.line.join([b"".join([head[line[0]], *[rest[w] for w in line[1:]]]) for line in lines])
+                values, at = list(map(self.later.__getitem__, words)), 0
+                for line in text.split("\n"):
+                    word = words[at]
+                    found = heads.get(word)
+                    if found is None:
+                        if len(heads) >= CACHE_WORDS // 4:
+                            heads.clear()
+                        found = heads[word] = self._whole(word)
+                    values[at] = self.line + found if at else found
+                    at += line.count(" ") + 1
+                raw = b"".join(values)
             out.append(np.frombuffer(raw, self.kind))
         return out
 

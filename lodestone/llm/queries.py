@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, tokens
+from . import decontaminate, licenses, lm, mixing, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document (see ``lm``); the target is the documents labelled good and not toxic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chosen = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm.scored(docs, lm.trained(docs, chosen)).select("doc_id", "__lm.n_words", "__lm.loss_target", "__lm.loss_background", "__lm.score")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every document (see ``licenses.scanned``)."""
+    rows = licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(f"__licence.{c}", ",").alias(c)
+    return rows.select(
+        "doc_id", "__licence.n_words", "__licence.n_base", "__licence.first_word", "__licence.last_word",
+        joined("base_labels"), joined("labels"), "__licence.score",
+    )
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scores": op6_lm_scores,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }

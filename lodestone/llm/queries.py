@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, mixing, quality, simhash, tokens
+from . import decontaminate, licenses, lines, lm, mixing, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every line of every document, the first occurrence of its group and whether it is that (see ``lines.groups``)."""
+    return lines.groups(_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "first_doc", "first_line", "kept")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (see ``simhash.components``)."""
     rows = simhash.components(_table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,9 @@ from .wavelet import Wavelet, build
 
 END_ID = 2
 #: Tokens at which a shard is closed; it ends with a whole document.
-SHARD_TOKENS = 1_000_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
-_CHUNK = 64
+SHARD_TOKENS = 1 << 18
+#: Texts cut and encoded at a time, pieces encoded at a time.
+_CHUNK = 3072
 _TOGETHER = 256
 
 SHARDS = "part long, seq long, n_tokens long, doc_ids array<long>, image binary"
@@ -37,12 +37,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A space at either end of a text or beside other white space (of Unicode's and of Python's kinds).
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ODD = rf"^ | $| [{_SPACE}]|[{_SPACE}] "
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, without special tokens, equal to ``encode`` of the whole text.
+    """Ids of texts by the tokenizers library, without special tokens, equal to ``encode`` of each whole text.
 
-    The byte-level pre-tokenizer cuts before a single space and around a single line break that stand between other
-    characters, and merges never cross a cut. So a text whose white space is of these kinds only is encoded word by word,
-    each word once while it is kept; any other text is encoded whole.
+    The byte-level pre-tokenizer cuts before a single space between other characters, and merges never cross a cut. So a
+    batch of texts is cut at its spaces, each distinct piece is encoded once, and the texts' ids are gathered from the
+    pieces'. A text with other spaces than single ones between other characters is encoded whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -51,76 +56,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}  # of words at the start of a line
-        self.later: dict[str, bytes] = {}  # of words after a space
-        self.line = self._whole("\n")
-        self.ends = {c: self._whole(c) for c in ".,"}
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")  # how the vocabulary writes a space
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Keep the ids of `` word`` for each new word. Encoded many at once: only a word's first id starts with a space.
-
-        A full stop or comma after letters is an id of its own, so such a word needs only the word without it.
-        """
-        kept = self.later
-        new = words.difference(kept)
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept.clear()
-            new = words
-        ended = [w for w in new if w[-1] in self.ends and w[:-1].isalpha()]
-        plain = list(new.difference(ended).union(w[:-1] for w in ended).difference(kept))
-        texts = ["".join([" " + w for w in plain[i : i + _TOGETHER]]) for i in range(0, len(plain), _TOGETHER)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of `` piece`` for each piece, and how many each has. Many are encoded at once: only a piece's first id starts
+        with a space."""
+        flat, lengths = [], []
+        texts = [" " + " ".join(pieces[i : i + _TOGETHER]) for i in range(0, len(pieces), _TOGETHER)]
         for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cuts = np.nonzero(self.spaced[ids])[0].tolist()
-            group = plain[i * _TOGETHER : (i + 1) * _TOGETHER]
-            if len(cuts) != len(group):  # a word with a special token's text, which may stand after a space by itself
-                kept.update((w, self._whole(" " + w)) for w in group)
-                continue
-            raw, size = ids.tobytes(), self.kind.itemsize
-            for word, x, y in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
-                kept[word] = raw[x * size : y * size]
-        for word in ended:
-            kept[word] = kept[word[:-1]] + self.ends[word[-1]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parsed = []
-        for text in texts:
-            words = text.split()
-            single = text.count(" ") + text.count("\n")
-            # White space is single spaces and line breaks between words only.
-            fit = words and len(words) == single + 1 and len(text) - len("".join(words)) == single
-            parsed.append(words if fit else None)
-        self._learn(set().union(*[w for w in parsed if w]))
-        heads = self.first
-        out = []
-        for text, words in zip(texts, parsed, strict=True):
-            if words is None:
-                raw = self._whole(text) if text else b""
-            else:
-                values, at = list(map(self.later.__getitem__, words)), 0
-                for line in text.split("\n"):
-                    word = words[at]
-                    found = heads.get(word)
-                    if found is None:
-                        if len(heads) >= CACHE_WORDS // 4:
-                            heads.clear()
-                        found = heads[word] = self._whole(word)
-                    values[at] = self.line + found if at else found
-                    at += line.count(" ") + 1
-                raw = b"".join(values)
-            out.append(np.frombuffer(raw, self.kind))
-        return out
+            group = pieces[i * _TOGETHER : (i + 1) * _TOGETHER]
+            cuts = np.nonzero(self.spaced[ids])[0]
+            if len(cuts) != len(group) or cuts[0] != 0:  # a special token's text, which may stand after a space by itself
+                each = [self._ids(" " + w) for w in group]
+                ids, cuts = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            flat.append(ids)
+            lengths.append(np.diff(cuts, append=len(ids)))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([np.zeros(0, self.kind), *flat]), np.concatenate([none, *lengths])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(pc.binary_length(texts), 0))
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        starts = cut.offsets.to_numpy()[:-1]
+        out = {i: self._ids(texts[i].as_py()) for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist()}
+        if len(starts):
+            values = cut.values
+            kinds = values.dictionary_encode()
+            which = kinds.indices.to_numpy().astype(np.int64)
+            first = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(values.take(pa.array(starts)).to_pylist(), add_special_tokens=False)]
+            flat, lengths = self._pieces(kinds.dictionary.to_pylist())
+            which[starts] = len(lengths) + np.arange(len(first))
+            flat, lengths = np.concatenate([flat, *first]), np.concatenate((lengths, [len(f) for f in first])).astype(np.int64)
+            begins = np.cumsum(lengths) - lengths
+            sizes = lengths[which]
+            ends = np.cumsum(sizes)
+            small = np.int32 if ends[-1] < 1 << 31 else np.int64
+            at = np.repeat((begins[which] - (ends - sizes)).astype(small), sizes)
+            at += np.arange(ends[-1], dtype=small)
+            ids = flat.take(at)
+            stops = np.append(ends[starts[1:] - 1], ends[-1])
+            good = np.nonzero(~odd.to_numpy(zero_copy_only=False))[0].tolist()
+            out.update(zip(good, np.split(ids, stops[:-1]), strict=True))
+        return [out[i] for i in range(len(texts))]
 
 
 _encoders: dict[str | None, Encoder] = {}
 
 
+def encoder_of(path: str | None) -> Encoder:
+    """This worker's encoder. (A function of the module, so that tasks share its encoders; what tasks' own functions refer to is
+    copied for each task.)"""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def shards(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Written shards ``part, seq, n_tokens, doc_ids, image`` of all texts, ordered by (part, seq) as their documents by doc_id.
 
@@ -129,7 +125,7 @@ def shards(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer:
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         end = np.array([END_ID], encoder.kind)
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, parts, held = [], [], [], 0
@@ -143,12 +139,12 @@ def shards(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer:
         for batch in batches:
             for at in range(0, batch.num_rows, _CHUNK):
                 chunk = batch.slice(at, _CHUNK)
-                names = chunk.column(0).to_pylist()
-                for name, found in zip(names, encoder.encode([t or "" for t in chunk.column(1).to_pylist()]), strict=True):
+                found = encoder.encode(pc.fill_null(chunk.column(1), ""))
+                for name, tokens in zip(chunk.column(0).to_pylist(), found, strict=True):
                     ids.append(name)
-                    parts += [found, end]
-                    lengths.append(len(found) + 1)
-                    held += len(found) + 1
+                    parts += [tokens, end]
+                    lengths.append(len(tokens) + 1)
+                    held += len(tokens) + 1
                     if held >= shard_tokens:
                         yield close()
                         seq += 1

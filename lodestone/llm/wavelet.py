@@ -30,13 +30,12 @@ def build(ids: np.ndarray, lengths: np.ndarray, level: int = 1) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=level)
     blocks, ones = [], []
     for bit in range(depth - 1, -1, -1):
-        here = (rows >> bit) & 1
-        flags = here.astype(bool)
+        flags = (rows & rows.dtype.type(1 << bit)) != 0
         for at in range(0, n, BLOCK):
             part = flags[at : at + BLOCK]
             ones.append(int(np.count_nonzero(part)))
             blocks.append(squeeze.compress(np.packbits(part, bitorder="little").tobytes()))
-        rows = np.concatenate((rows[~flags], rows[flags]))
+        rows = np.concatenate((np.compress(~flags, rows), np.compress(flags, rows)))
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype(np.uint64)
     head = HEAD.pack(MAGIC, n, depth, len(alphabet), len(lengths), len(blocks))
     parts = [head, offsets.tobytes(), np.array(ones, np.uint32).tobytes(), alphabet.tobytes(), np.asarray(lengths, np.uint32).tobytes(), *blocks]
@@ -137,11 +136,13 @@ class Wavelet:
     def tokens(self) -> np.ndarray:
         """All ids in order."""
         rows = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
+        places = np.arange(self.n)
         for level in range(self.depth - 1, -1, -1):
-            flags = np.concatenate([self._block(level, k) for k in range(self.per_level)]).astype(bool)
-            upper = np.empty_like(rows)
+            flags = np.concatenate([self._block(level, k) for k in range(self.per_level)]).view(bool)
             zeros = int(self.zeros[level])
-            upper[~flags] = rows[:zeros]
-            upper[flags] = rows[zeros:] | (1 << (self.depth - 1 - level))
+            rows[zeros:] |= rows.dtype.type(1 << (self.depth - 1 - level))
+            upper = np.empty_like(rows)
+            upper[np.compress(~flags, places)] = rows[:zeros]
+            upper[np.compress(flags, places)] = rows[zeros:]
             rows = upper
         return self.alphabet[rows] if self.n else np.zeros(0, np.uint32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, lm, mixing, quality, simhash, tokens
+from . import classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality and toxicity of every document (see ``classifier``); hosts are sources, paths are a source's languages."""
+    docs = _table(spark, sf_dir, "documents")
+    model = classifier.trained(docs, _table(spark, sf_dir, "labels"))
+    return classifier.judged(docs, model, F.col("source"), F.col("lang"), carry=["doc_id"])
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the shards (see ``tokens``)."""
     return tokens.documents(tokens.shards(_table(spark, sf_dir, "documents")))
@@ -78,6 +85,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_lm_scores": op6_lm_scores,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, tokens
+from . import classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, threads, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(docs, lm.trained(docs, chosen)).select("doc_id", "__lm.n_words", "__lm.loss_target", "__lm.loss_background", "__lm.score")
 
 
+def op7_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, what it replies to and its place in reply order (see ``threads.linked``)."""
+    return threads.linked(_table(spark, sf_dir, "conversations"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of every document (see ``licenses.scanned``)."""
     rows = licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_lm_scores": op6_lm_scores,
+    "op7_threads": op7_threads,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,

@@ -19,6 +19,8 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK_WORDS = 512
 SHARD_ROWS = 2048
+#: Sources up to which the table of their shards is broadcast.
+SOURCE_ROWS = 100_000
 SEED = 20240607
 
 #: Primes above any number of blocks in a shard, so that multiplying by one permutes the blocks.
@@ -108,9 +110,12 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc: str
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(size).cast("long")
     content = F.xxhash64(F.lit(seed), F.col(f"`{doc}`"), F.col(f"`{text}`"))
-    rows = written(docs.select(*keep, source_key(F.col(f"`{source}`")).alias("__g"), content.alias("__h"), size.alias("__size")), "mix")
-    counts = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("__shards"))
-    dealt = rows.join(counts, "__g").withColumn("__shard", F.pmod(F.xxhash64("__h", F.lit(seed)), F.col("__shards"))).drop("__shards")
+    rows = docs.select(*keep, source_key(F.col(f"`{source}`")).alias("__g"), content.alias("__h"), size.alias("__size"))
+    if text not in names:  # narrow rows are written, and the texts read once
+        rows = written(rows, "mix")
+    counts = cut(rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("__shards")))
+    few = counts.count() <= SOURCE_ROWS
+    dealt = rows.join(F.broadcast(counts) if few else counts, "__g").withColumn("__shard", F.pmod(F.xxhash64("__h", F.lit(seed)), F.col("__shards"))).drop("__shards")
     shards = cut(dealt.groupBy(F.col("__g").alias("g"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("size")))
     # The plan of a shard: whole passes, then the words that its blocks still give in their seeded order.
     plan = _quotas(shards, block)

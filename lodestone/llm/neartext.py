@@ -31,7 +31,7 @@ PART = 2048
 #: Dropped rows up to which their ids are broadcast.
 DROPPED_ROWS = 2_000_000
 
-_PRINTS = "doc_id long, row_hash long, content binary, fp long, signature binary, shingles array<int>"
+_PRINTS = "doc_id long, row_hash long, content binary, fp long, signature binary"
 _random = np.random.default_rng(20240607)
 _FLIP = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -50,18 +50,16 @@ def _prints(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                contents, fps, signatures, sets = [], [], [], []
+                contents, fps, signatures = [], [], []
                 for body in part.column(2):
                     words = simhash.words_of(body.as_py())
                     hashes = simhash.shingle_hashes(words, shingle)
                     contents.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     fps.append(simhash.fingerprint(hashes))
                     signatures.append(signature(hashes).tobytes())
-                    sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                ends = np.cumsum([0, *map(len, sets)])
                 columns = [
                     part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                    pa.array(signatures, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets))),
+                    pa.array(signatures, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PRINTS.split(", ")])
 
@@ -69,6 +67,24 @@ def _prints(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
     return docs.select(F.col(f"`{doc}`").cast("long").alias("d"), F.xxhash64(body).alias("h"), body.alias("t")).mapInArrow(rows, _PRINTS)
 
 
+def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``content, s``: the set of a text's shingles, 32 bits of each hash."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                contents, sets = [], []
+                for body in batch.column(0).slice(at, 512):
+                    words = simhash.words_of(body.as_py())
+                    contents.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    sets.append(np.unique((simhash.shingle_hashes(words, shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                columns = [pa.array(contents, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["content", "s"])
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(rows, "content binary, s array<int>")
+
+
 def _bands(contents: DataFrame) -> DataFrame:
     """``band, content``: a key for each band of each signature."""
 
@@ -166,9 +182,14 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     contents = written(one, "contents")
     pairs = cut(_candidates(contents))
     ends = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
-    # A copy's set is its first copy's: one row a content, by the least row hash.
-    rows = prints.select("content", "row_hash", "shingles").join(ends, "content", "left_semi")
-    sets = cut(rows.groupBy("content").agg(F.min(F.struct("row_hash", "shingles"))["shingles"].alias("s")))
+    # Only texts in some pair are read again for their sets, one row of each: the one of the least row hash.
+    rows = prints.join(ends, "content", "left_semi").groupBy("content").agg(F.min(F.struct("row_hash", "doc_id")).alias("r"))
+    rows = cut(rows.select(F.col("r.row_hash").alias("__h"), F.col("r.doc_id").alias("__d")))
+    few = rows.count() <= DROPPED_ROWS
+    body = docs.select("*", F.xxhash64(F.col(f"`{text}`").cast("string")).alias("__t"))
+    same = (F.col("__t") == F.col("__h")) & F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__d"))
+    wanted = body.join(F.broadcast(rows) if few else rows, same, "left_semi")
+    sets = cut(_sets(wanted, text, shingle).groupBy("content").agg(F.min("s").alias("s")))
     met = pairs.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a")
     met = met.join(sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))

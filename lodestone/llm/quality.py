@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import cut, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -24,6 +24,8 @@ MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 RELATIVE_ERROR = 0.01
 MIN_ROWS = 200
+#: Hashes of rejected rows up to which they are broadcast.
+LOST_ROWS = 2_000_000
 
 #: ratio -> (spreads above the upper quartile, spreads below the lower quartile or None, least spread).
 FENCES: dict[str, tuple[float, float | None, float]] = {
@@ -166,33 +168,48 @@ def fences(rows: DataFrame, min_rows: int = MIN_ROWS, error: float = RELATIVE_ER
     return met.groupBy("g_lang", "g_source").agg(*columns)
 
 
-def judged(
-    docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_rows: int = MIN_ROWS, carry: list[str] | None = None
-) -> DataFrame:
-    """``docs`` (of its columns, ``carry``; all by default) with ``__m`` (see ``measured``), ``__base_failed`` and ``__kept``.
+def _verdicts(rows: DataFrame, min_rows: int) -> DataFrame:
+    """``rows(lang, source, __m, ...)`` plus ``__base_failed`` and ``__kept``."""
+    ratios = _ratios()
+    rows = rows.select("*", _failed().alias("__base_failed"), F.struct(*[v.alias(k) for k, v in ratios.items()]).alias("__r"))
+    sampled = rows.where("not __base_failed").select(
+        F.col("__lang").alias("g_lang"), F.col("__source").alias("g_source"), *[F.col(f"__r.{k}").alias(k) for k in ratios]
+    )
+    fence = fences(sampled, min_rows).select(F.col("g_lang").alias("__fl"), F.col("g_source").alias("__fs"), F.struct(*FENCES).alias("__f"))
+    met = rows.join(fence, F.col("__lang").eqNullSafe(F.col("__fl")) & F.col("__source").eqNullSafe(F.col("__fs")), "left")
+    within = F.lit(True)
+    for k in ratios:
+        within = within & F.coalesce(F.col(f"__r.{k}").between(F.col(f"__f.{k}.low"), F.col(f"__f.{k}.high")), F.lit(True))
+    return met.select(*[c for c in rows.columns if c != "__r"], (~F.col("__base_failed") & within).alias("__kept"))
+
+
+def judged(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_rows: int = MIN_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (default: all but the text) with ``__m`` (see ``measured``), ``__base_failed`` and ``__kept``.
 
     A document is kept if it passes the base rules and each of its ratios lies within its group's fence.
     Null languages and sources are groups like any other; a null or empty text has no words and fails the base rules;
     repeated rows are judged alike; an empty table gives an empty one. Only documents that pass the base rules are
     sketched, so that junk that is certain does not widen the fences. Other columns pass unchanged.
     The texts are read once: counts and carried columns are written to the shared folder, and sketches and
-    filtering read them from there.
+    verdicts read them from there.
     """
-    names = list(dict.fromkeys([*(docs.columns if carry is None else carry), lang, source]))
+    names = [c for c in docs.columns if c != text] if carry is None else carry
     keep = [F.col(f"`{c}`") for c in names]
-    ratios = _ratios()
-    counted = written(measured(docs, text).select(*keep, "__m"), "quality")
-    rows = counted.select(
-        *keep, "__m", _failed().alias("__base_failed"), F.struct(*[v.alias(k) for k, v in ratios.items()]).alias("__r")
-    )
-    sampled = rows.where("not __base_failed").select(
-        F.col(f"`{lang}`").alias("g_lang"), F.col(f"`{source}`").alias("g_source"), *[F.col(f"__r.{k}").alias(k) for k in ratios]
-    )
-    fence = fences(sampled, min_rows).select(
-        F.col("g_lang").alias("__fl"), F.col("g_source").alias("__fs"), F.struct(*FENCES).alias("__f")
-    )
-    met = rows.join(fence, F.col(f"`{lang}`").eqNullSafe(F.col("__fl")) & F.col(f"`{source}`").eqNullSafe(F.col("__fs")), "left")
-    within = F.lit(True)
-    for k in ratios:
-        within = within & F.coalesce(F.col(f"__r.{k}").between(F.col(f"__f.{k}.low"), F.col(f"__f.{k}.high")), F.lit(True))
-    return met.select(*keep, "__m", "__base_failed", (~F.col("__base_failed") & within).alias("__kept"))
+    groups = [F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source")]
+    rows = measured(docs, text).select(*keep, *groups, "__m")
+    return _verdicts(written(rows, "quality"), min_rows).select(*keep, "__m", "__base_failed", "__kept")
+
+
+def kept(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_rows: int = MIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with the columns of ``docs``.
+
+    Texts are not written again: rows are known by a hash of what their verdict depends on, and the rejected ones
+    (broadcast if they are few) are taken out of the table itself.
+    """
+    mark = F.xxhash64(F.col(f"`{text}`"), F.col(f"`{lang}`"), F.col(f"`{source}`"))
+    again = F.xxhash64(F.lit(1), F.col(f"`{source}`"), F.col(f"`{text}`"), F.col(f"`{lang}`"))
+    marked = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([lang, source, text])], mark.alias("__mark"), again.alias("__again"))
+    lost = cut(judged(marked, lang, source, text, min_rows, carry=["__mark", "__again"]).where("not __kept").select("__mark", "__again").distinct())
+    few = lost.count() <= LOST_ROWS
+    out = docs.select("*", mark.alias("__mark"), again.alias("__again"))
+    return out.join(F.broadcast(lost) if few else lost, ["__mark", "__again"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from . import decontaminate, mixing, neartext, quality, tokens
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality.judged(docs).where("__kept").select(*docs.columns)
+    return quality.kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,522 @@
-"""Every query of the engine by name, with its SQL."""
+"""Every query of the engine by name, with its SQL where SQL can say it.
+
+Queries run over the link model that ``sources.fixture`` lays over the star-schema tables. Ranks are computed once for each session and
+folder and kept as a checkpoint; everything else is planned anew by each query.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ARCHIVES, ARTICLE, CATEGORY, EngineConfig
+from ..functions import text as text_functions
+from ..functions.urls import with_domain
+from ..functions.wikitext import NAMESPACES, namespace_title
+from ..operators import authority, evaluate, explore, graph, load, search, textindex
+from ..sources import fixture
+from ..sources.fixture import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Filters lowered to suit the small tables (their defaults are 10 and 1,000).
+MIN_PAGES, MIN_PAGES_TLD, MIN_CITATIONS = 5, 20, 1
+SEARCHES = (("q1", "thanea attion"), ("q2", "anea"), ("q3", "eriner"), ("q4", "the"))
+ROUNDS = 20
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+_ranks: dict[tuple, DataFrame] = {}
+
+
+def ranks(spark: SparkSession, sf_dir: str, ns: int = ARTICLE, teleport: str = "all") -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, ns, teleport)
+    if key not in _ranks:
+        m = fixture.model(spark, sf_dir)
+        _ranks[key] = graph.page_rank(m["internal_pages"], m["internal_links"], ns, teleport=teleport)
+    return _ranks[key]
+
+
+def ranked_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The model with ranks of articles and degrees in its pages."""
+    m = fixture.model(spark, sf_dir)
+    pages = graph.with_ranks(m["internal_pages"].withColumn("authority", F.lit(None).cast("double")), ranks(spark, sf_dir))
+    return m | {"internal_pages": pages}
+
+
+def shown(c: str) -> F.Column:
+    """A rank or a sum of ranks for comparison: millionths, three decimals (sums differ in their last bits by order)."""
+    return F.round(F.col(c) * 1e6, 3).alias(c)
+
+
+def _shown(c: str, name: str | None = None) -> str:
+    return f"round({c} * 1e6, 3) AS {name or c}"
+
+
+# Ranks in SQL: rounds unrolled, of which the first that moved no rank by the tolerance is taken.
+
+
+def rank_ctes(ns: int, teleport: str = "all", tag: str = "") -> dict[str, str]:
+    t = tag
+    total = "(SELECT count(*) FROM internal_pages)" if teleport == "all" else f"(SELECT count(*) FROM nodes{t})"
+    out = {
+        f"nodes{t}": f"SELECT id FROM internal_pages WHERE ns = {ns}",
+        f"inside{t}": f"SELECT l.source_id, l.target_id FROM internal_links l JOIN nodes{t} a ON l.source_id = a.id JOIN nodes{t} b ON l.target_id = b.id",
+        f"outs{t}": f"SELECT source_id, count(*) AS d FROM inside{t} GROUP BY source_id",
+        f"edges{t}": f"SELECT i.source_id, i.target_id, 1.0::DOUBLE / o.d AS w FROM inside{t} i JOIN outs{t} o ON i.source_id = o.source_id",
+        f"r{t}0": f"SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes{t}) AS r FROM nodes{t}",
+    }
+    for k in range(1, ROUNDS + 1):
+        out[f"c{t}{k}"] = (
+            f"SELECT n.id, coalesce(s.c, 0.0) AS c FROM nodes{t} n LEFT JOIN (SELECT e.target_id, sum(p.r * e.w) AS c FROM edges{t} e JOIN r{t}{k - 1} p ON e.source_id = p.id GROUP BY e.target_id) s ON n.id = s.target_id"
+        )
+        out[f"r{t}{k}"] = f"SELECT id, 0.15::DOUBLE / {total} + 0.85::DOUBLE * (c + (SELECT (1.0::DOUBLE - sum(c)) / count(*) FROM c{t}{k})) AS r FROM c{t}{k}"
+    moves = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.r - b.r)) AS d FROM r{t}{k} a JOIN r{t}{k - 1} b ON a.id = b.id" for k in range(1, ROUNDS + 1))
+    out[f"moves{t}"] = moves
+    out[f"last{t}"] = f"SELECT min(k) AS k FROM moves{t} WHERE d < 1e-6"
+    out[f"ranks{t}"] = " UNION ALL ".join(f"SELECT id, r AS rank1 FROM r{t}{k} WHERE {k} = (SELECT k FROM last{t})" for k in range(1, ROUNDS + 1))
+    return out
+
+
+_AUTHORITY = {
+    "domain_authority": "SELECT d.id AS domain_id, d.name, d.tld, count(DISTINCT p.id) AS citing_pages, avg(r.rank1) AS avg_citing_pagerank, sum(r.rank1) AS total_citing_pagerank "
+    "FROM external_links l JOIN internal_pages p ON l.source_id = p.id JOIN ranks r ON p.id = r.id JOIN external_pages e ON l.target_id = e.id JOIN external_domains d ON e.domain_id = d.id "
+    f"WHERE p.ns = 0 AND d.name NOT IN ({', '.join(repr(a) for a in ARCHIVES)}) GROUP BY d.id, d.name, d.tld",
+    "tld_authority": "SELECT tld, count(*) AS domains, CAST(sum(citing_pages) AS BIGINT) AS citing_pages, avg(avg_citing_pagerank) AS avg_citing_pagerank, sum(total_citing_pagerank) AS total_citing_pagerank FROM domain_authority GROUP BY tld",
+    "page_authority": "SELECT l.source_id AS page_id, count(DISTINCT e.domain_id) AS distinct_domains, sum(a.total_citing_pagerank) AS total_citing_pagerank "
+    "FROM external_links l JOIN external_pages e ON l.target_id = e.id JOIN domain_authority a ON e.domain_id = a.domain_id GROUP BY l.source_id",
+    "page_profile": "SELECT l.source_id AS page_id, p.ns, p.title, e.url, d.name AS domain, d.tld, count(*) OVER (PARTITION BY p.id, d.id) AS domain_citation_count "
+    "FROM external_links l JOIN internal_pages p ON l.source_id = p.id JOIN external_pages e ON l.target_id = e.id JOIN external_domains d ON e.domain_id = d.id",
+}
+_RANKED = rank_ctes(ARTICLE)
+_ALL = {**_RANKED, **_AUTHORITY}
+_MEANS = f"{_shown('avg_citing_pagerank')}, {_shown('total_citing_pagerank')}"
+
+
+def _by_domain(m: dict[str, DataFrame]) -> DataFrame:
+    return authority.domain_authority(m["internal_pages"], m["external_links"], m["external_pages"], m["external_domains"])
+
+
+# Graph
+
+
+def _degree_sql(ns: str) -> str:
+    ends = f"(SELECT id FROM internal_pages {ns})"
+    return oracle(
+        f"SELECT p.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM {ends} p "
+        f"LEFT JOIN (SELECT target_id, count(*) AS n FROM internal_links WHERE source_id IN {ends} GROUP BY target_id) i ON p.id = i.target_id "
+        f"LEFT JOIN (SELECT source_id, count(*) AS n FROM internal_links WHERE target_id IN {ends} GROUP BY source_id) o ON p.id = o.source_id"
+    )
+
+
+@query("degrees_ns0", _degree_sql("WHERE ns = 0"))
+def degrees_ns0(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.degrees(m["internal_pages"], m["internal_links"], ARTICLE)
+
+
+@query(
+    "degrees_unrestricted",
+    oracle(
+        "SELECT p.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM internal_pages p "
+        "LEFT JOIN (SELECT target_id, count(*) AS n FROM internal_links GROUP BY target_id) i ON p.id = i.target_id "
+        "LEFT JOIN (SELECT source_id, count(*) AS n FROM internal_links GROUP BY source_id) o ON p.id = o.source_id"
+    ),
+)
+def degrees_unrestricted(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.degrees(m["internal_pages"], m["internal_links"])
+
+
+_CASE = "CASE " + " ".join(f"WHEN d <= {top} THEN '{label}'" for top, label in explore.BUCKETS) + f" ELSE '{explore.LAST_BUCKET}' END"
+
+
+@query(
+    "degree_distribution",
+    oracle(
+        f"SELECT degree_type, {_CASE} AS bucket, count(*) AS pages FROM (SELECT 'in_degree' AS degree_type, in_degree AS d FROM g UNION ALL SELECT 'out_degree', out_degree FROM g) x GROUP BY 1, 2",
+        {"g": _degree_sql("WHERE ns = 0").split("\nSELECT", 1)[1].join(["SELECT", ""])},
+    ),
+)
+def degree_distribution(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    pages = m["internal_pages"].join(graph.degrees(m["internal_pages"], m["internal_links"], ARTICLE), "id")
+    return explore.degree_distribution(pages)
+
+
+@query(
+    "redirect_statistics",
+    oracle(
+        "SELECT *, 100.0::DOUBLE * content / total AS content_percent, 100.0::DOUBLE * categories / total AS categories_percent, 100.0::DOUBLE * redirects / total AS redirects_percent FROM ("
+        "SELECT count(*) AS total, count(*) FILTER (ns = 0) - (SELECT count(*) FROM redirects) AS content, count(*) FILTER (ns = 14) AS categories, (SELECT count(*) FROM redirects) AS redirects FROM internal_pages) x"
+    ),
+)
+def redirect_statistics(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return explore.redirect_statistics(m["internal_pages"], m["redirects"])
+
+
+def _rank_query(name: str, ns: int, teleport: str) -> None:
+    sql = oracle(f"SELECT id, {_shown('rank1')}, CAST((SELECT k FROM last) AS INT) AS iterations FROM ranks", rank_ctes(ns, teleport))
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return ranks(spark, sf_dir, ns, teleport).select("id", shown("rank1"), "iterations")
+
+
+_rank_query("pagerank_ns0", ARTICLE, "all")
+_rank_query("pagerank_ns14", CATEGORY, "all")
+_rank_query("pagerank_teleport_ns", ARTICLE, "ns")
+
+
+@query("pagerank_sum", oracle("SELECT round(sum(rank1), 9) AS rank1, round(sum(rank1), 9) AS rank2 FROM ranks", _RANKED))
+def pagerank_sum(spark, sf_dir):
+    return graph.rank_sums(ranks(spark, sf_dir)).select(F.round("rank1", 9).alias("rank1"), F.round("rank2", 9).alias("rank2"))
+
+
+@query(
+    "top_pages",
+    oracle(
+        f"SELECT row_number() OVER (ORDER BY r.rank1 DESC, r.id) AS rank, p.title, {_shown('r.rank1', 'score')} FROM ranks r JOIN internal_pages p ON r.id = p.id ORDER BY r.rank1 DESC, r.id LIMIT 100",
+        _RANKED,
+    ),
+)
+def top_pages(spark, sf_dir):
+    return explore.top_pages(ranked_model(spark, sf_dir)["internal_pages"]).select("rank", "title", shown("score"))
+
+
+@query("redirect_text_fill", oracle("SELECT p.id, coalesce(t.text_id, p.text_id) AS text_id FROM internal_pages p LEFT JOIN redirects r ON p.id = r.source_id LEFT JOIN internal_pages t ON r.target_id = t.id"))
+def redirect_text_fill(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.fill_redirects(m["internal_pages"], m["redirects"]).select("id", "text_id")
+
+
+def _ends(m: dict[str, DataFrame]) -> tuple[str, str]:
+    """Titles of the article with the least id that links, and of the article with the largest id linked to."""
+    pages, links = m["internal_pages"].where("ns = 0"), m["internal_links"]
+    a = pages.join(links, pages.id == links.source_id, "left_semi").orderBy("id").first()
+    b = pages.join(links, pages.id == links.target_id, "left_semi").orderBy(F.desc("id")).first()
+    return a["title"], b["title"]
+
+
+_WALK = {
+    "goal": "SELECT max(l.target_id) AS b FROM internal_links l JOIN internal_pages p ON l.target_id = p.id WHERE p.ns = 0",
+    "start": "SELECT min(l.source_id) AS a FROM internal_links l JOIN internal_pages p ON l.source_id = p.id WHERE p.ns = 0",
+}
+_HOPS = (
+    "SELECT CAST(min(depth) AS INT) AS hops FROM (WITH RECURSIVE walk(id, depth) AS (SELECT a, 0 FROM start UNION "
+    "SELECT l.target_id, depth + 1 FROM walk JOIN internal_links l ON walk.id = l.source_id WHERE depth < 12 AND walk.id <> (SELECT b FROM goal)) "
+    "SELECT * FROM walk) w WHERE id = (SELECT b FROM goal)"
+)
+
+
+@query("shortest_path", oracle(_HOPS, _WALK))
+def shortest_path(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.shortest_path(m["internal_pages"], m["internal_links"], *_ends(m)).select("hops")
+
+
+# Authority
+
+
+@query("domain_authority", oracle(f"SELECT domain_id, name, tld, citing_pages, {_MEANS} FROM domain_authority", _ALL))
+def domain_authority(spark, sf_dir):
+    return _by_domain(ranked_model(spark, sf_dir)).select(F.col("domain_id"), "name", "tld", "citing_pages", shown("avg_citing_pagerank"), shown("total_citing_pagerank"))
+
+
+@query(
+    "domain_authority_top",
+    oracle(f"SELECT name, tld, citing_pages, {_MEANS} FROM domain_authority a WHERE citing_pages >= {MIN_PAGES} ORDER BY a.total_citing_pagerank DESC, name LIMIT 20", _ALL),
+)
+def domain_authority_top(spark, sf_dir):
+    top = authority.top_domains(_by_domain(ranked_model(spark, sf_dir)), MIN_PAGES, 20)
+    return top.select("name", "tld", "citing_pages", shown("avg_citing_pagerank"), shown("total_citing_pagerank"))
+
+
+@query("tld_authority", oracle(f"SELECT tld, domains, citing_pages, {_MEANS} FROM tld_authority", _ALL))
+def tld_authority(spark, sf_dir):
+    rows = authority.tld_authority(_by_domain(ranked_model(spark, sf_dir)))
+    return rows.select("tld", "domains", "citing_pages", shown("avg_citing_pagerank"), shown("total_citing_pagerank"))
+
+
+@query("tld_authority_top", oracle(f"SELECT tld, domains, citing_pages, {_MEANS} FROM tld_authority WHERE citing_pages >= {MIN_PAGES_TLD}", _ALL))
+def tld_authority_top(spark, sf_dir):
+    rows = authority.top_tlds(authority.tld_authority(_by_domain(ranked_model(spark, sf_dir))), MIN_PAGES_TLD)
+    return rows.select("tld", "domains", "citing_pages", shown("avg_citing_pagerank"), shown("total_citing_pagerank"))
+
+
+@query("page_authority", oracle(f"SELECT page_id, distinct_domains, {_shown('total_citing_pagerank')} FROM page_authority", _ALL))
+def page_authority(spark, sf_dir):
+    m = ranked_model(spark, sf_dir)
+    return authority.page_authority(m["external_links"], m["external_pages"], _by_domain(m)).select("page_id", "distinct_domains", shown("total_citing_pagerank"))
+
+
+@query("page_authority_applied", oracle(f"SELECT p.id, {_shown('a.total_citing_pagerank', 'authority')} FROM internal_pages p LEFT JOIN page_authority a ON p.id = a.page_id", _ALL))
+def page_authority_applied(spark, sf_dir):
+    m = ranked_model(spark, sf_dir)
+    by_page = authority.page_authority(m["external_links"], m["external_pages"], _by_domain(m))
+    return authority.with_authority(m["internal_pages"], by_page).select("id", shown("authority"))
+
+
+@query("page_profile", oracle("SELECT * FROM page_profile", {"page_profile": _AUTHORITY["page_profile"]}))
+def page_profile(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return authority.page_profile(m["internal_pages"], m["external_links"], m["external_pages"], m["external_domains"])
+
+
+@query(
+    "page_source_profile",
+    oracle(
+        f"SELECT url, domain, tld, domain_citation_count FROM page_profile WHERE ns = 0 AND domain_citation_count >= {MIN_CITATIONS} AND page_id = (SELECT min(page_id) FROM page_profile WHERE ns = 0)",
+        {"page_profile": _AUTHORITY["page_profile"]},
+    ),
+)
+def page_source_profile(spark, sf_dir):
+    profile = page_profile(spark, sf_dir)
+    title = profile.where("ns = 0").orderBy("page_id").first()["title"]
+    return authority.page_sources(profile, title, MIN_CITATIONS)
+
+
+# Loading
+
+
+@query("text_dedup", oracle("SELECT t.id, t.hash, t.text, d.doc_id AS page_id FROM documents d JOIN texts_by_hash t ON md5(d.text) = t.hash"))
+def text_dedup(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
+    return load.dedup_texts(docs)
+
+
+@query(
+    "link_resolution",
+    oracle("SELECT DISTINCT l.source_id, p.id AS target_id FROM internal_links l JOIN internal_pages t ON l.target_id = t.id JOIN internal_pages p ON t.title = p.title AND p.ns = 0"),
+)
+def link_resolution(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    titles = m["internal_pages"].select(F.col("id").alias("target_id"), "title")
+    raw = m["internal_links"].join(titles, "target_id").select("source_id", F.lit(ARTICLE).alias("ns"), "title")
+    return load.resolve(raw, m["internal_pages"])
+
+
+@query("domain_split", oracle("SELECT page_id, name, tld FROM named_hosts"))
+def domain_split(spark, sf_dir):
+    return with_domain(spark.read.parquet(f"{sf_dir}/pages.parquet"), "url", fixture.SUFFIXES).select("page_id", "name", "tld")
+
+
+_NS_LINK = "CASE doc_id % 5 WHEN 0 THEN 'Category:' || source WHEN 1 THEN ':' || source WHEN 2 THEN 'category:' || source WHEN 3 THEN 'User talk:' || source || ':x' ELSE source END"
+
+
+@query(
+    "ns_title_split",
+    f"SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN {NAMESPACES['Category']} WHEN 3 THEN {NAMESPACES['User talk']} ELSE 0 END AS INT) AS ns, CASE doc_id % 5 WHEN 1 THEN source ELSE {_NS_LINK} END AS title FROM documents",
+)
+def ns_title_split(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_NS_LINK).alias("link"))
+    return rows.select("doc_id", namespace_title(F.col("link")).alias("x")).select("doc_id", "x.ns", "x.title")
+
+
+@query(
+    "token_truncate",
+    "SELECT doc_id, CASE WHEN len(w) > 64 THEN array_to_string(w[1:64], ' ') || ' ...' ELSE array_to_string(w, ' ') END AS snippet FROM (SELECT doc_id, regexp_extract_all(text, '[^\\s]+') AS w FROM documents) x",
+)
+def token_truncate(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", explore.snippet(F.col("text")).alias("snippet"))
+
+
+# Search
+
+_TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
+_INDEXES = {
+    "title_unicode": f"SELECT id AS doc_id, {_TOKENS.format('title')} AS toks FROM internal_pages",
+    "text_unicode": f"SELECT id AS doc_id, {_TOKENS.format('text')} AS toks FROM internal_texts",
+    "title_trigram": "SELECT id AS doc_id, lower(title) AS low, greatest(length(title) - 2, 0) AS size FROM internal_pages",
+    "text_trigram": "SELECT id AS doc_id, lower(text) AS low, greatest(length(text) - 2, 0) AS size FROM internal_texts",
+}
+
+
+def _queries(spark: SparkSession, searches=SEARCHES) -> DataFrame:
+    return spark.createDataFrame(list(searches), "key string, query string")
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return _queries(spark).select("key", F.explode(text_functions.query_terms(F.col("query"))).alias("term"))
+
+
+def _rows(table: str, m: dict[str, DataFrame]) -> DataFrame:
+    if table == "title":
+        return m["internal_pages"].select(F.col("id").alias("doc_id"), F.col("title").alias("body"))
+    return m["internal_texts"].select(F.col("id").alias("doc_id"), F.col("text").alias("body"))
+
+
+_VALUES = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, q in SEARCHES for t in q.split()) + ") v(key, term)"
+
+
+def _bm25_ctes(name: str) -> dict[str, str]:
+    kind = name.split("_")[1]
+    if kind == "unicode":
+        found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(d.toks, lambda x: x = t.term)) AS DOUBLE) AS f, CAST(len(d.toks) AS DOUBLE) AS size FROM {name} d CROSS JOIN terms t"
+        size = "len(toks)"
+    else:
+        # Occurrences may overlap: every place where the term stands.
+        found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(range(1, length(d.low) + 1), lambda i: substr(d.low, i, length(t.term)) = t.term)) AS DOUBLE) AS f, CAST(d.size AS DOUBLE) AS size FROM {name} d JOIN terms t ON contains(d.low, t.term)"
+        size = "size"
+    return {
+        name: _INDEXES[name],
+        f"{name}_stats": f"SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum({size}) AS DOUBLE) / count(*) AS mean FROM {name}",
+        f"{name}_f": f"SELECT * FROM ({found}) x WHERE f > 0",
+        f"{name}_n": f"SELECT key, term, CAST(count(*) AS DOUBLE) AS n FROM {name}_f GROUP BY key, term",
+        f"{name}_s": f"SELECT a.key, a.doc_id, -(CASE WHEN ln((s.n - b.n + 0.5) / (b.n + 0.5)) > 0 THEN ln((s.n - b.n + 0.5) / (b.n + 0.5)) ELSE 1e-6 END) * a.f * 2.2 / (a.f + 1.2 * (0.25 + 0.75 * a.size / s.mean)) AS s "
+        f"FROM {name}_f a JOIN {name}_n b ON a.key = b.key AND a.term = b.term CROSS JOIN {name}_stats s",
+        f"{name}_and": f"SELECT s.key, s.doc_id, sum(s.s) AS bm25 FROM {name}_s s JOIN (SELECT key, count(*) AS k FROM terms GROUP BY key) t ON s.key = t.key GROUP BY s.key, s.doc_id, t.k HAVING count(*) = t.k",
+    }
+
+
+def _bm25_query(name: str) -> None:
+    table, kind = name.split("_")
+    sql = oracle(f"SELECT key, doc_id, round(bm25, 6) + 0.0 AS bm25 FROM {name}_and", {"terms": _VALUES, **_bm25_ctes(name)})
+
+    @query(f"bm25_{name}", sql)
+    def run(spark, sf_dir):
+        made = textindex.build(_rows(table, fixture.model(spark, sf_dir)), kind)
+        return textindex.bm25(made, _terms(spark), "and").select("key", "doc_id", (F.round("bm25", 6) + 0.0).alias("bm25"))
+
+
+for _name in _INDEXES:
+    _bm25_query(_name)
+
+
+@query(
+    "vocab_unicode",
+    oracle("SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest(toks) AS term FROM title_unicode) x GROUP BY term", {"title_unicode": _INDEXES["title_unicode"]}),
+)
+def vocab_unicode(spark, sf_dir):
+    return textindex.build(_rows("title", fixture.model(spark, sf_dir)), "unicode").vocabulary()
+
+
+@query(
+    "vocab_trigram",
+    oracle(
+        "SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, substr(low, unnest(range(1, length(low) - 1)), 3) AS term FROM title_trigram) x GROUP BY term",
+        {"title_trigram": _INDEXES["title_trigram"]},
+    ),
+)
+def vocab_trigram(spark, sf_dir):
+    return textindex.build(_rows("title", fixture.model(spark, sf_dir)), "trigram").vocabulary()
+
+
+_IDF = {
+    "terms": _VALUES,
+    "title_unicode": _INDEXES["title_unicode"],
+    "idfs": "SELECT t.key, t.term, ln(1 + (SELECT count(*) FROM internal_pages)::DOUBLE / d.doc) AS idf FROM terms t JOIN (SELECT term, count(DISTINCT doc_id) AS doc FROM (SELECT doc_id, unnest(toks) AS term FROM title_unicode) x GROUP BY term) d ON t.term = d.term",
+    "kept": "SELECT key, term, idf FROM (SELECT *, max(idf) OVER (PARTITION BY key) AS top FROM idfs) x WHERE idf >= 1.5 OR (top < 1.5 AND idf = top)",
+}
+
+
+@query("idf_terms", oracle("SELECT key, term, round(idf, 9) AS idf FROM kept", _IDF))
+def idf_terms(spark, sf_dir):
+    made = textindex.build(_rows("title", fixture.model(spark, sf_dir)), "unicode")
+    return search.kept_terms(search.idfs(made, _queries(spark))).select("key", "term", F.round("idf", 9).alias("idf"))
+
+
+_KEPT_TERMS = {**{k: v for k, v in _IDF.items() if k != "terms"}}
+
+
+def _search_sql() -> str:
+    parts = {"all_terms": _VALUES, **{k: v.replace("FROM terms t", "FROM all_terms t") for k, v in _KEPT_TERMS.items()}, "terms": "SELECT key, term FROM kept"}
+    for name in ("title_unicode", "title_trigram"):
+        parts.update(_bm25_ctes(name))
+    stream = (
+        "SELECT {no} AS stream, s.key, p.id, p.title, 2.0::DOUBLE * s.bm25 AS bm25, r.rank1, row_number() OVER (PARTITION BY s.key ORDER BY s.bm25, p.id) AS place "
+        "FROM {name}_and s JOIN internal_pages p ON s.doc_id = p.id JOIN ranks r ON p.id = r.id WHERE p.ns = 0 AND p.text_id IS NOT NULL"
+    )
+    parts["cand"] = " UNION ALL ".join(f"SELECT * FROM ({stream.format(no=i, name=n)}) x WHERE place <= 100" for i, n in enumerate(("title_unicode", "title_trigram")))
+    parts["scored"] = "SELECT *, 0.8::DOUBLE * -(bm25 / min(bm25) OVER (PARTITION BY key)) + (1 - 0.8::DOUBLE) * -(rank1 / max(rank1) OVER (PARTITION BY key)) AS score FROM cand"
+    parts["once"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY score, stream) AS o FROM scored) x WHERE o = 1"
+    return oracle(
+        f"SELECT key, position, page_id, title, round(bm25, 6) AS bm25, {_shown('rank1', 'rank')} FROM (SELECT key, row_number() OVER (PARTITION BY key ORDER BY score, id) AS position, id AS page_id, title, bm25, rank1 FROM once) x WHERE position <= 10",
+        {**_RANKED, **parts},
+    )
+
+
+@query("search_interactive", _search_sql())
+def search_interactive(spark, sf_dir):
+    m = ranked_model(spark, sf_dir)
+    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), _queries(spark))
+    return found.select("key", F.col("position").cast("long").alias("position"), "page_id", "title", F.round("bm25", 6).alias("bm25"), shown("rank"))
+
+
+@query("search_batch")
+def search_batch(spark, sf_dir):
+    m = ranked_model(spark, sf_dir)
+    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), _queries(spark), interactive=False)
+    return found.select("key", "position", "page_id", "title", "bm25", "rank", "authority")
+
+
+def _fusion_values() -> str:
+    rows = [
+        ("Isaac Newton", -20.69, 1.37e-5), ("Newton", -25.35, 2.43e-8), ("Knewton", -24.64, 5.82e-8), ("Enewton", -24.64, 4.56e-8), ("Newton-X", -23.96, 2.87e-8),
+    ]
+    return "(VALUES " + ", ".join(f"('{t}', CAST({b} AS DOUBLE), CAST({r} AS DOUBLE))" for t, b, r in rows) + ") AS v(title, bm25, rank1)"
+
+
+@query(
+    "fusion_golden",
+    f"SELECT title, round(0.8::DOUBLE * -(bm25 / min(bm25) OVER ()) + (1 - 0.8::DOUBLE) * -(rank1 / max(rank1) OVER ()), 6) AS score FROM {_fusion_values()}",
+)
+def fusion_golden(spark, sf_dir):
+    rows = spark.sql(f"SELECT * FROM {_fusion_values()}")
+    low = rows.agg(F.min("bm25").alias("least"), F.max("rank1").alias("most"))
+    return rows.crossJoin(low).select("title", F.round(search.fused(F.col("bm25"), F.col("least"), F.col("rank1"), F.col("most")), 6).alias("score"))
+
+
+# Evaluation
+
+
+def judgements(m: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Queries from titles of articles, and judgements: the page itself 2, an article whose title starts alike 1, an absent title 1."""
+    pages = m["internal_pages"].where("ns = 0 AND text_id IS NOT NULL AND id % 40 = 1")
+    words = F.slice(text_functions.unicode_tokens("title"), 1, 2)
+    queries = pages.select(F.concat(F.lit("syn-"), F.col("id")).alias("key"), F.array_join(words, " ").alias("query"), "title", F.element_at(words, 1).alias("first"))
+    near = m["internal_pages"].where("ns = 0 AND text_id IS NOT NULL").select(F.col("title").alias("other"), F.element_at(text_functions.unicode_tokens("title"), 1).alias("first"))
+    own = queries.select("key", "title", F.lit(2).alias("rel"))
+    like = queries.join(near, "first").where("other <> title").select("key", F.col("other").alias("title"), F.lit(1).alias("rel"))
+    absent = queries.select("key", F.concat(F.lit("absent "), "key").alias("title"), F.lit(1).alias("rel"))
+    return queries.select("key", "query"), own.unionByName(like).unionByName(absent)
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    m = ranked_model(spark, sf_dir)
+    asked, judged = judgements(m)
+    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), asked, interactive=False)
+    return evaluate.ndcg(found.select("key", "position", "title"), evaluate.with_found(judged, m["internal_pages"]))
+
+
+@query("ndcg_pessimistic")
+def ndcg_pessimistic(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("key", F.col("ndcg_pessimistic").alias("ndcg"))
+
+
+@query("ndcg_optimistic")
+def ndcg_optimistic(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("key", F.col("ndcg_optimistic").alias("ndcg"))
+
+
+@query("grid_search_means")
+def grid_search_means(spark, sf_dir):
+    m = ranked_model(spark, sf_dir)
+    asked, judged = judgements(m)
+    made = search.build(m["internal_pages"], m["internal_texts"])
+    settings = evaluate.grid(base=EngineConfig())
+    return evaluate.grid_search(made, asked, evaluate.with_found(judged, m["internal_pages"]), settings)

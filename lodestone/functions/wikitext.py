@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Namespaces by the prefix of a title.
 NAMESPACES = {
@@ -113,7 +114,10 @@ def external_links(text: str | None) -> list[str]:
 
 def plain(text: str) -> str:
     """Wikitext as reading text."""
-    body, aside = _cleared(text)
+    return _plain(*_cleared(text))
+
+
+def _plain(body: str, aside: list[str]) -> str:
     body = _REF.sub("", body)
     while True:
         inner = [(k, s, e) for k, s, e, _ in spans(body)]
@@ -135,21 +139,21 @@ def plain(text: str) -> str:
 
 def lead(text: str | None) -> str:
     """The reading text before the first heading."""
-    body, _ = _cleared(text or "")
+    body, aside = _cleared(text or "")
     m = _HEADING.search(body)
-    return re.sub(r"\n{3,}", "\n\n", plain(body[: m.start()] if m else body)).strip()
+    return re.sub(r"\n{3,}", "\n\n", _plain(body[: m.start()] if m else body, aside)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lead_text(text: pd.Series) -> pd.Series:
     return text.map(lead)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def link_targets(text: pd.Series, ns: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([links(a, b, c) for a, b, c in zip(text, ns, title, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def external_urls(text: pd.Series) -> pd.Series:
     return text.map(external_links)

@@ -78,7 +78,7 @@ class Linear:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Linear:
     """Logistic regression of both heads by full-batch steps with per-weight rates; deterministic."""
-    share = np.clip(labels.mean(axis=1), 1e-3, 1 - 1e-3)
+    share = np.clip(labels.mean(axis=1) if rows else np.full(len(HEADS), 0.5), 1e-3, 1 - 1e-3)
     weights, bias = np.zeros((len(HEADS), FEATURES)), np.log(share / (1 - share))
     if not rows:
         return Linear(weights, bias, share)

@@ -26,8 +26,6 @@ SEED = 20240607
 #: Primes above any number of blocks in a shard, so that multiplying by one permutes the blocks.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
-_EVERYTHING = Window.partitionBy()
-
 
 def source_key(source: Column) -> Column:
     """A key without nulls whose order is by code point, null last."""
@@ -44,11 +42,11 @@ def targets(sources: DataFrame) -> DataFrame:
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), place + 1)
     rows = sources.select("*", weight.alias("w"), (LIMIT * F.col("size")).cast("double").alias("cap"))
     before = Window.orderBy(F.col("cap") / F.col("w"), "g").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.sum(c).over(_EVERYTHING)
+    total = lambda c: F.sum(c).over(Window.partitionBy())
     none = F.lit(0.0)
     level = (SHARE * total("size") - F.coalesce(F.sum("cap").over(before), none)) / (total("w") - F.coalesce(F.sum("w").over(before), none))
     leveled = rows.select("*", level.alias("level"))
-    return leveled.select(*sources.columns, F.least("cap", F.max("level").over(_EVERYTHING) * F.col("w")).alias("target"))
+    return leveled.select(*sources.columns, F.least("cap", F.max("level").over(Window.partitionBy()) * F.col("w")).alias("target"))
 
 
 def apportioned(rows: DataFrame, by: list[str], key: str, weight: str, seats: str) -> DataFrame:
@@ -80,7 +78,7 @@ def _quotas(shards: DataFrame, block: int) -> DataFrame:
     source's target rounded to whole words."""
     sums = shards.groupBy("g").agg(F.sum("size").alias("size"))
     aimed = targets(sums).select("g", F.col("size").alias("source_size"), "target", F.lit(0).alias("all"))
-    house = F.floor(F.sum("target").over(_EVERYTHING) / block)
+    house = F.floor(F.sum("target").over(Window.partitionBy()) / block)
     sources = cut(apportioned(aimed.select("*", house.alias("house")), ["all"], "g", "target", "house"))
     met = shards.join(sources.select("g", "source_size", "target", F.col("won").alias("blocks")), "g")
     dealt = apportioned(met, ["g"], "shard", "size", "blocks")

@@ -341,8 +341,8 @@ _TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 _INDEXES = {
     "title_unicode": f"SELECT id AS doc_id, {_TOKENS.format('title')} AS toks FROM internal_pages",
     "text_unicode": f"SELECT id AS doc_id, {_TOKENS.format('text')} AS toks FROM internal_texts",
-    "title_trigram": "SELECT id AS doc_id, lower(title) AS low, string_split(lower(title), '') AS chars, greatest(length(title) - 2, 0) AS size FROM internal_pages",
-    "text_trigram": "SELECT id AS doc_id, lower(text) AS low, string_split(lower(text), '') AS chars, greatest(length(text) - 2, 0) AS size FROM internal_texts",
+    "title_trigram": "SELECT id AS doc_id, lower(title) AS low, greatest(length(title) - 2, 0) AS size FROM internal_pages",
+    "text_trigram": "SELECT id AS doc_id, lower(text) AS low, greatest(length(text) - 2, 0) AS size FROM internal_texts",
 }
 
 
@@ -369,8 +369,10 @@ def _bm25_ctes(name: str) -> dict[str, str]:
         found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(d.toks, lambda x: x = t.term)) AS DOUBLE) AS f, CAST(len(d.toks) AS DOUBLE) AS size FROM {name} d CROSS JOIN terms t"
         size = "len(toks)"
     else:
-        # Occurrences may overlap: every place where the term stands.
-        found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(range(1, len(d.chars) - length(t.term) + 2), lambda i: d.chars[i] = t.term[1] AND array_to_string(d.chars[i : i + length(t.term) - 1], '') = t.term)) AS DOUBLE) AS f, CAST(d.size AS DOUBLE) AS size FROM {name} d JOIN terms t ON contains(d.low, t.term)"
+        # Occurrences may overlap by a letter: those that a first count leaves between its own are counted after marking these.
+        often = lambda text: f"(length({text}) - length(replace({text}, t.term, ''))) / length(t.term)"
+        marked = "replace(d.low, t.term, left(t.term, -1) || chr(1) || right(t.term, 1))"
+        found = f"SELECT t.key, t.term, d.doc_id, CAST({often('d.low')} + {often(marked)} AS DOUBLE) AS f, CAST(d.size AS DOUBLE) AS size FROM {name} d JOIN terms t ON contains(d.low, t.term)"
         size = "size"
     return {
         name: _INDEXES[name],

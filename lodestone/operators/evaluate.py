@@ -85,3 +85,15 @@ def grid_search(index: search.SearchIndex, queries: DataFrame, qrels: DataFrame,
     by_query = by_query.withColumn("setting", F.substring_index("key", "|", 1).cast("int"))
     out = by_query.groupBy("setting").agg(F.count(F.lit(1)).alias("queries"), F.avg("ndcg_pessimistic").alias("ndcg_pessimistic"), F.avg("ndcg_optimistic").alias("ndcg_optimistic"))
     return table.join(out, "setting", "left").drop("setting")
+
+
+def has_title(pages: DataFrame, uri: str) -> bool:
+    """Whether an article has the title that a DBpedia URI names."""
+    title = uri.removeprefix("<dbpedia:").removesuffix(">").replace("_", " ")
+    return not pages.where((F.col("ns") == ARTICLE) & (F.col("title") == title)).isEmpty()
+
+
+def save_report(results: DataFrame, by_query: DataFrame, folder: str) -> None:
+    """Results and each query's scores as JSON lines, to look into a run later."""
+    results.write.mode("overwrite").json(f"{folder}/results")
+    by_query.write.mode("overwrite").json(f"{folder}/scores")

@@ -50,7 +50,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words of all texts, ties by bytes. Each task counts before the shuffle."""
+    """The most frequent words of all texts, in order: all seen at least as often as the level at which there are ``size`` or fewer.
+
+    Each task counts before the shuffle. Only counts of counts and the chosen words reach the driver, ``size`` rows each at most
+    (a sort with a limit would send that many from every partition).
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -67,8 +71,21 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> l
         yield rows()
 
     counted = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "word binary, n long")
-    totals = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in totals.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    totals = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least = _level(totals.groupBy(F.col("n").alias("c")).agg(F.count(F.lit(1)).alias("k")), size)
+    rows = totals.where(F.col("n") >= least).collect()
+    return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))]
+
+
+def _level(counts: DataFrame, size: int) -> int:
+    """Of counts of counts ``c, k``, the least count that ``size`` items or fewer reach."""
+    least, seen = 1, 0
+    for row in counts.orderBy(F.col("c").desc()).toLocalIterator():
+        seen += row["k"]
+        if seen > size:
+            least = row["c"] + 1
+            break
+    return least
 
 
 @dataclass
@@ -249,12 +266,7 @@ def trained(docs: DataFrame, chosen: DataFrame, doc: str = "doc_id", text: str =
     table = written(counted.mapInArrow(_folder(n), "range int, packed binary, levels array<long>, sizes array<long>"), "bigrams")
     # Counts of counts give the level from which bigrams are kept: few rows, one a distinct count.
     level = table.select(F.explode(F.arrays_zip("levels", "sizes")).alias("x")).groupBy(F.col("x.levels").alias("c")).agg(F.sum("x.sizes").alias("k"))
-    least, seen = 1, 0
-    for row in level.orderBy(F.col("c").desc()).toLocalIterator():
-        seen += row["k"]
-        if seen > bigrams:
-            least = row["c"] + 1
-            break
+    least = _level(level, bigrams)
 
     def pruned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -105,7 +105,13 @@ def trained(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
     """A classifier fitted on at most ``sample`` labelled documents; labels that are null or of repeated ids count as their maximum."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
     marks = marks.agg(*[F.coalesce(F.max(h), F.lit(0)).cast("int").alias(h) for h in HEADS])
-    marks = cut(marks.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample))
+    order = F.xxhash64(F.lit(seed), "__id")
+    marks = cut(marks)
+    n = marks.count()
+    if n > 4 * sample:  # the least hashes lie below this bound, so that no partition sorts or sends all of its rows
+        low = marks.where(order < int((2 * sample / n - 0.5) * 2.0**64))
+        marks = low if low.count() >= sample else marks
+    marks = cut(marks.orderBy(order, "__id").limit(sample))
     rows = docs.select(F.col(f"`{doc}`").alias("__id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(marks), "__id").select("t", *HEADS)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,7 +158,8 @@ def test_language_models(spark):
     full = {r["doc_id"]: r for r in lm.scored(docs, lm.trained(docs, chosen)).select("doc_id", "__lm.*").collect()}
     assert np.mean([full[i]["score"] for i in range(21, 40, 2)]) < np.mean([full[i]["score"] for i in range(0, 40, 2)])
     count = Counter(w for _, t in texts for w in lm.words_of(t))
-    assert model.words == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    level = sorted(count.values(), reverse=True)[20]
+    assert model.words == sorted((w for w, c in count.items() if c > level), key=lambda w: (-count[w], w)) and 0 < len(model.words) <= 20
     assert model.unigrams[0].sum() == sum(count.values())
 
 
@@ -183,6 +184,14 @@ def test_classifier_on_held_out_labels(spark):
     assert good.kept.mean() > 0.97 and rows[rows.toxic == 1].kept.mean() < 0.15 and rows[rows.quality == 0].kept.mean() < 0.1
 
 
+def test_the_sample_is_of_the_least_hashes(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    small, order = classifier.trained(docs, labels, sample=50), F.xxhash64(F.lit(classifier.SEED), "doc_id")
+    same = classifier.trained(docs, labels.orderBy(order, "doc_id").limit(50), sample=50)
+    assert (small.share == same.share).all() and (small.weights == same.weights).all()
+
+
 def test_sparse_sites_shrink_towards_their_host(spark):
     rows = [(i, "bad text" if i < 60 else "good text", "h1" if i < 60 else "h2", "p") for i in range(120)] + [(200, "unknown", "h1", "q"), (201, "unknown", "h2", "q"), (202, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")

@@ -119,6 +119,16 @@ def test_large_buckets_lose_no_link(spark):
     assert got == want
 
 
+def test_the_edit_limit_is_a_share_of_any_length(spark):
+    long = [f"{i:05d}" for i in range(1000)]  # 5,999 characters
+    far = ["xxxxx" if i % 40 == 0 else w for i, w in enumerate(long)]
+    short = "ab" * 50
+    texts = [(1, " ".join(long)), (2, " ".join(far)), (3, short), (4, "z" * 15 + short[15:]), (5, "z" * 16 + short[16:])]
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (3, 5)], "a long, b long")
+    got = lines._verified(pairs, spark.createDataFrame(texts, "id long, words string")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(1, 2), (3, 4)]
+
+
 @here
 @pytest.mark.parametrize("part", [2, 2048])
 def test_near_copies(spark, monkeypatch, part):

@@ -1,9 +1,11 @@
 """Near-copies by similarity of word shingles: SimHash anchors and min-wise signatures propose, exact sets decide.
 
 Four bits of 64 are a tight rule: most pairs whose sets of five-word shingles are 0.8 alike differ in 5 to 17 bits. So, besides the
-fingerprints that ``simhash.links`` joins, texts meet in buckets of equal bands of a min-wise signature. Within a bucket, a
-text is proposed to those most like it by signature and along a spanning forest of the best such links, never to all. Every
-proposed pair is then decided by its sets of shingles, and groups are the connected components of the pairs that hold.
+fingerprints that ``simhash.links`` joins, texts meet in buckets of equal bands of a min-wise signature, and of one component of those
+links. Within a bucket, a text is first proposed to those most like it by signature and along a spanning forest of the best such links.
+Every proposed pair is then decided by its sets of shingles, and groups are the connected components of the pairs that hold. What is
+left apart is proposed again, to twice as many each round, until every pair of a bucket with an estimate above the bound is in one
+group or decided.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ BANDS, ROWS = 16, 4
 HASHES = 128
 #: How far an estimate from ``HASHES`` values may lie below the similarity of a pair (about three standard errors).
 SLACK = 0.11
+#: Texts that each is proposed to in the first rounds; later rounds double it until no list is cut short.
 NEIGHBOURS = 3
 #: Texts of one bucket compared in one task, two parts of this many; a larger bucket is dealt to several tasks.
 PART = 2048
@@ -149,26 +152,132 @@ def _proposals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(pairs())
 
 
-def _candidates(contents: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of contents, proposed by signature buckets and by fingerprint."""
-    bands = _bands(contents)
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = bands.join(full, "band").select("band", "content", F.ceil(F.col("n") / PART).alias("parts"))
-    # A crowded bucket is cut into parts, and each pair of parts is a task of its own: whole, with no task above two parts.
+def _again(k: int):
+    """A mapInArrow function from rows ``band, p, q, content, signature, label`` sorted by the first three: each text's ``k`` most alike
+    of another label, as ``band, a, b``; a row with null ``a, b`` names a bucket where some text has more than ``k``."""
+    need = int(np.floor((SIMILARITY - SLACK) * HASHES))
+    names = ["band", "a", "b"]
+
+    def batch_of(band: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(x), band, np.int64)), pa.array(x.tolist(), pa.binary()), pa.array(y.tolist(), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def pairs(band: int, contents: list, signatures: list, labels: list) -> Iterator[pa.RecordBatch]:
+        if len(set(labels)) < 2:
+            return
+        whose = np.array(contents, object)
+        s = np.frombuffer(b"".join(signatures), "<u2").reshape(len(contents), HASHES)
+        label = np.unique(np.array(labels, object), return_inverse=True)[1]
+        more = False
+        xs, ys, held = [], [], 0
+        for i in range(len(contents)):
+            alike = (s == s[i]).sum(axis=1, dtype=np.int16)
+            near = np.nonzero((alike >= need) & (label != label[i]))[0]
+            if len(near) > k:
+                more = True
+                near = near[np.argpartition(-alike[near], k - 1)[:k]]
+            xs.append(np.full(len(near), i))
+            ys.append(near)
+            held += len(near)
+            if held >= 1 << 16:
+                yield batch_of(band, whose[np.concatenate(xs)], whose[np.concatenate(ys)])
+                xs, ys, held = [], [], 0
+        if held:
+            yield batch_of(band, whose[np.concatenate(xs)], whose[np.concatenate(ys)])
+        if more:
+            yield batch_of(band, np.array([None]), np.array([None]))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for now, *row in zip(keys, *(batch.column(c).to_pylist() for c in range(3, 6)), strict=True):
+                if now != key:
+                    if key is not None:
+                        yield from pairs(key[0], *held)
+                    key, held = now, ([], [], [])
+                for values, value in zip(held, row, strict=True):
+                    values.append(value)
+        if key is not None:
+            yield from pairs(key[0], *held)
+
+    return rows
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows of buckets with the ``parts`` of theirs, dealt to ``p, q``: a crowded bucket is cut into parts, and each pair of parts is a task
+    of its own: whole, with no task above two parts."""
     own = F.pmod(F.xxhash64("content"), F.col("parts"))
-    members = members.select("band", "content", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    members = members.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "content")
-    signed = members.join(contents.select("content", "signature"), "content").select("band", "p", "q", "content", "signature")
-    signed = signed.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "content")
-    by_band = signed.mapInArrow(_proposals, "a binary, b binary")
-    # Texts of one fingerprint are proposed to its first, and firsts of linked fingerprints to each other.
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    return rows.drop("own", "other", "parts")
+
+
+def _sorted(signed: DataFrame) -> DataFrame:
+    return signed.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "content")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members``: ``band, content, parts`` of buckets of two texts or more, and the first pairs ``a, b`` of contents, proposed by bucket
+    and by fingerprint."""
     first = cut(contents.groupBy("fp").agg(F.min("content").alias("first")))
+    near = cut(simhash.links(first.select("fp")))
+    # Fingerprints of one component of links, and so all within the threshold, share a bucket.
+    linked = connected(near).select(F.col("node").alias("fp"), "root")
+    prints = contents.select("content", "fp").join(linked, "fp", "left")
+    prints = prints.select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"), "content")
+    bands = _bands(contents).unionAll(prints)
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(bands.join(full, "band").select("band", "content", F.ceil(F.col("n") / PART).alias("parts")))
+    signed = _dealt(members).join(contents.select("content", "signature"), "content").select("band", "p", "q", "content", "signature")
+    by_band = _sorted(signed).mapInArrow(_proposals, "a binary, b binary")
+    # Texts of one fingerprint are proposed to its first, and firsts of linked fingerprints to each other.
     same = contents.join(first, "fp").select(F.col("first").alias("a"), F.col("content").alias("b"))
-    near = simhash.links(first.select("fp"))
     ends = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
     linked = near.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    every = by_band.unionAll(same).unionAll(linked).where("a <> b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return members, cut(_ordered(by_band.unionAll(same).unionAll(linked)))
+
+
+def _held(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs ``a, b`` of contents, those whose sets are alike."""
+    met = pairs.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a")
+    met = met.join(sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
+    return met.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("a", "b")
+
+
+def _connected(contents: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, root`` of the groups: decides ``pairs``, then in rounds those that buckets propose among texts still apart."""
+    # Written, not checkpointed: a checkpoint keeps the planner's estimate of its size, which multiplies with each join of each round.
+    held = written(_held(pairs, sets, similarity), "held")
+    nodes = written(connected(held), "nodes")
+    k = NEIGHBOURS
+    while True:
+        tagged = members.join(nodes.withColumnRenamed("node", "content"), "content", "left")
+        tagged = tagged.select("band", "content", "parts", F.coalesce("root", "content").alias("label"))
+        apart = tagged.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+        tagged = _dealt(tagged.join(apart, "band", "left_semi"))
+        # Only texts of some pair have a partner above the bound.
+        signed = tagged.join(sets.select("content"), "content", "left_semi").join(contents.select("content", "signature"), "content")
+        signed = _sorted(signed.select("band", "p", "q", "content", "signature", "label"))
+        found = written(signed.mapInArrow(_again(k), "band long, a binary, b binary"), "found")
+        new = written(_ordered(found.where("a is not null")).join(pairs, ["a", "b"], "left_anti"), "new")
+        more = cut(found.where("a is null").select("band").distinct())
+        if not new.isEmpty():
+            pairs = pairs.unionAll(new)
+            right = written(_held(new, sets, similarity), "right")
+            if not right.isEmpty():
+                held = held.unionAll(right)
+                nodes = written(connected(held), "nodes")
+        if more.isEmpty():
+            return nodes
+        members = cut(members.join(more, "band", "left_semi"))
+        k *= 2
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,7 +289,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     prints = written(_prints(docs, doc, text, shingle), "prints")
     one = prints.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("signature").alias("signature"))
     contents = written(one, "contents")
-    pairs = cut(_candidates(contents))
+    members, pairs = _candidates(contents)
     ends = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
     # Only texts in some pair are read again for their sets, one row of each: the one of the least row hash.
     rows = prints.join(ends, "content", "left_semi").groupBy("content").agg(F.min(F.struct("row_hash", "doc_id")).alias("r"))
@@ -190,11 +299,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     same = (F.col("__t") == F.col("__h")) & F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__d"))
     wanted = body.join(F.broadcast(rows) if few else rows, same, "left_semi")
     sets = cut(_sets(wanted, text, shingle).groupBy("content").agg(F.min("s").alias("s")))
-    met = pairs.join(sets.select(F.col("content").alias("a"), F.col("s").alias("sa")), "a")
-    met = met.join(sets.select(F.col("content").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all")).where(F.col("both") >= similarity * (F.col("all") - F.col("both")))
-    nodes = connected(held.select("a", "b"))
+    nodes = _connected(contents, members, pairs, sets, similarity)
     rooted = contents.select("content", "least").join(nodes.withColumnRenamed("node", "content"), "content", "left")
     rooted = rooted.select("content", "least", F.coalesce("root", "content").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -143,6 +143,25 @@ def test_near_copies(spark, monkeypatch, part):
     assert kept == {d for d in got if got[d] == d}
 
 
+@pytest.mark.parametrize("part", [8, 2048])
+def test_near_copies_of_a_dense_template(spark, monkeypatch, part):
+    # Texts about 0.76 to 0.84 alike: estimates rank many partners below the bound above the few that hold.
+    monkeypatch.setattr(neartext, "PART", part)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        w = [f"t{j}" for j in range(300)]
+        for at in rng.choice(60, 4, replace=False).tolist():
+            w[5 * at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for _, t in rows]
+    linked = [(a, b) for b in range(60) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(linked, range(60))
+    assert 2 < len(set(want.values())) < 30
+    got = {r["doc_id"]: r["component_id"] for r in neartext.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "A  b c"), (3, None), (4, ""), (None, "x y"), (None, "x y"), (5, "a b d"), (1, "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

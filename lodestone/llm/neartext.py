@@ -317,7 +317,9 @@ def kept(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) ->
     same = F.col(f"`{doc}`").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__l"))
     gone = lost.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__l"))
     out = out.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # ids that stand for several rows of one group
-        out = out.dropDuplicates([doc])
+    again = cut(rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).count().where("count > 1").select("__d"))
+    if not again.isEmpty():  # ids that stand for several rows of one group; null ids and all others are left alone
+        ids = F.col(f"`{doc}`").cast("long") == F.col("__d")
+        once = out.join(again, ids, "left_semi").dropDuplicates([doc])
+        out = out.join(again, ids, "left_anti").unionAll(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

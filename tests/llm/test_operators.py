@@ -170,6 +170,12 @@ def test_near_copies_of_odd_rows(spark):
     assert sum(v for (d, _), v in kept.items() if d == 1) == 1
 
 
+def test_a_repeated_row_changes_no_row_without_id(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "k l"), (None, "x y"), (None, "p q"), (None, "x y")]
+    kept = neartext.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == {(1, "a b c"): 1, (2, "k l"): 1, (None, "x y"): 2, (None, "p q"): 1}
+
+
 def test_language_models(spark):
     rng = np.random.default_rng(0)
     common = [f"w{i}" for i in range(30)]

@@ -119,6 +119,16 @@ def test_large_buckets_lose_no_link(spark):
     assert got == want
 
 
+def test_lines_of_one_fingerprint_all_meet(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3):  # three orders of the same words, each twice with two words swapped: one set, one fingerprint
+        w = [f"word{j}" for j in rng.permutation(40).tolist()]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([w[1], w[0], *w[2:]]))]
+    got = {r["doc_id"]: r["first_doc"] for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_the_edit_limit_is_a_share_of_any_length(spark):
     long = [f"{i:05d}" for i in range(1000)]  # 5,999 characters
     far = ["xxxxx" if i % 40 == 0 else w for i, w in enumerate(long)]

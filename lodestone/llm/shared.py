@@ -6,36 +6,73 @@ every executor can reach, so that a lost executor costs recomputation and never
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_left: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; on a local master that names none (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         named = context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The same rows written as Parquet to the shared folder and read again (column pruning stays possible)."""
+    """The same rows written as Parquet to the shared folder and read again (column pruning stays possible).
+
+    The files stay, as the result is read lazily, until ``dropped``, ``cleared`` or the end of the driver's Python.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _left[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a written table.
+
+    A checkpoint would keep the planner's estimate of its size, which multiplies with each join of each round; files have true sizes.
+    """
+    return written(df, "cut")
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that came from ``written`` or ``cut`` and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path in _left:
+            _delete(path, _left.pop(path))
+
+
+def cleared() -> None:
+    """Delete all that ``written`` and ``cut`` have left; results that read it can no longer be read."""
+    while _left:
+        path, spark = _left.popitem()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(path, spark)
+
+
+atexit.register(cleared)
 
 
 def _smaller(a: str, b: str, turn: int) -> F.Column:
@@ -70,11 +107,15 @@ def connected(edges: DataFrame) -> DataFrame:
             .select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
             .distinct()
         )
-        left = cut(moved)
+        done, left = left, cut(moved)
+        dropped(done)
     if not levels:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    dropped(left)
     out = levels[-1].withColumnRenamed("up", "root")
     for hook in reversed(levels[:-1]):
         deeper = out.select(F.col("node").alias("up"), F.col("root").alias("deep"))
         out = hook.join(deeper, "up", "left").select("node", F.coalesce("deep", "up").alias("root"))
-    return cut(out)
+    out = cut(out)
+    dropped(*levels)
+    return out

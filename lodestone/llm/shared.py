@@ -85,7 +85,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges(a, b)``; equal roots mean one component.
 
     Rounds of contraction: each node hooks onto the first of itself and its neighbours in a random order
-    that changes every round, and the edges move to the nodes hooked onto. Chains shrink by a constant
+    that changes every round, then onto what that one hooked onto, and the edges move to the nodes hooked onto. Chains shrink by a constant
     fraction however they are numbered. Hub nodes are met by partial minima and by joins whose right side
     has one row a key, so no hub is gathered in one task. Nulls and self links are ignored.
     """
@@ -98,7 +98,9 @@ def connected(edges: DataFrame) -> DataFrame:
         ways = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = F.struct(F.xxhash64(F.lit(turn), "b").alias("h"), F.col("b").alias("b"))
         near = ways.groupBy("a").agg(F.min(order)["b"].alias("b"))
-        hook = cut(near.select(F.col("a").alias("node"), _smaller("a", "b", turn).alias("up")))
+        hook = near.select(F.col("a").alias("node"), _smaller("a", "b", turn).alias("up"))
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        hook = cut(hook.join(above, "up").select("node", F.col("top").alias("up")))
         levels.append(hook)
         moved = (
             left.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")

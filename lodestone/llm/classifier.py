@@ -3,7 +3,7 @@
 A classifier, fitted on a bounded sample of labelled documents, gives each document's evidence as log odds. Hosts and their paths have
 posteriors of their own: expected counts of good (or toxic) documents, from all documents, shrunk towards the level above by
 beta priors whose strength comes from how much the groups of a level differ. Evidence and the posterior of the
-document's path together give its probability.
+document's path, both levels without the document itself, together give its probability.
 """
 
 from __future__ import annotations
@@ -143,6 +143,11 @@ def _strength(groups: DataFrame, mean: Column, head: str) -> Column:
     return F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(value, F.lit(STRONGEST)))).alias(f"strength_{head}")
 
 
+def _shrunk(k: Column, n: Column, strength: float, mean: Column) -> Column:
+    """The posterior mean of a group with ``k`` of ``n`` under a beta prior."""
+    return (k + strength * mean) / (n + strength)
+
+
 def judged(docs: DataFrame, model: Linear, host: Column, path: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` of ``docs`` (default: all but the text) plus ``p_quality, p_toxic, host_quality, path_quality, kept``.
 
@@ -175,15 +180,23 @@ def judged(docs: DataFrame, model: Linear, host: Column, path: Column, text: str
     total = hosts.agg(*[(F.sum(f"k_{h}") / F.sum("n")).alias(h) for h in HEADS]).first()
     mean = {h: F.lit(base[h] if total[h] is None else float(total[h])) for h in HEADS}
     strength = hosts.agg(*[_strength(hosts, mean[h], h) for h in HEADS]).first()
-    shrunk = [((F.col(f"k_{h}") + float(strength[f"strength_{h}"]) * mean[h]) / (F.col("n") + float(strength[f"strength_{h}"]))).alias(f"t_{h}") for h in HEADS]
-    hosts = cut(hosts.select("__host", *shrunk))
+    of_hosts = {h: float(strength[f"strength_{h}"]) for h in HEADS}
+    shrunk = [_shrunk(F.col(f"k_{h}"), F.col("n"), of_hosts[h], mean[h]).alias(f"t_{h}") for h in HEADS]
+    hosts = cut(hosts.select("__host", F.col("n").alias("nh"), *[F.col(f"k_{h}").alias(f"kh_{h}") for h in HEADS], *shrunk))
     within = paths.join(hosts, "__host")
     strength = within.agg(*[_strength(within, F.col(f"t_{h}"), h) for h in HEADS]).first()
-    shrunk = [((F.col(f"k_{h}") + float(strength[f"strength_{h}"]) * F.col(f"t_{h}")) / (F.col("n") + float(strength[f"strength_{h}"]))).alias(f"u_{h}") for h in HEADS]
-    sites = cut(within.select("__host", "__path", *[f"t_{h}" for h in HEADS], *shrunk))
+    of_paths = {h: float(strength[f"strength_{h}"]) for h in HEADS}
+    shrunk = [_shrunk(F.col(f"k_{h}"), F.col("n"), of_paths[h], F.col(f"t_{h}")).alias(f"u_{h}") for h in HEADS]
+    counts = ["n", "nh", *[f"k_{h}" for h in HEADS], *[f"kh_{h}" for h in HEADS]]
+    sites = cut(within.select("__host", "__path", *counts, *[f"t_{h}" for h in HEADS], *shrunk))
     few = sites.count() <= LABEL_ROWS
     met = rows.join(F.broadcast(sites) if few else sites, ["__host", "__path"])
-    p = {h: _probability(F.col(f"__e_{h}") + _logit(F.col(f"u_{h}"))) for h in HEADS}
+    p = {}
+    for h in HEADS:
+        # The document's own share is taken out of its host and path, or its evidence would count twice.
+        own = _probability(F.col(f"__e_{h}") + _logit(F.lit(base[h])))
+        above = _shrunk(F.col(f"kh_{h}") - own, F.col("nh") - 1, of_hosts[h], mean[h])
+        p[h] = _probability(F.col(f"__e_{h}") + _logit(_shrunk(F.col(f"k_{h}") - own, F.col("n") - 1, of_paths[h], above)))
     return met.select(
         *[F.col(f"`{c}`") for c in names], p["quality"].alias("p_quality"), p["toxic"].alias("p_toxic"),
         F.col("t_quality").alias("host_quality"), F.col("u_quality").alias("path_quality"),

@@ -1,8 +1,8 @@
 """Quotation linking for chats and mails (native: DataFrame functions only).
 
 A message's lines have quote levels (leading ``>`` marks, nested and spaced as mailers write them). Lines in a row at one level are a
-passage. Quoted passages are normalised and hashed, and joined to the first earlier message of the conversation
-that wrote that passage itself. Messages become replies to what they quote, conversations are put in reply order, and
+passage. Quoted passages and their lines are normalised and hashed, and joined to the first earlier message of the conversation
+that wrote that passage or line itself; lines link quotes that are trimmed or answered in between, passages those wrapped anew. Messages become replies to what they quote, conversations are put in reply order, and
 the quotes are taken out.
 """
 
@@ -15,6 +15,8 @@ from .shared import cut, written
 
 _MARKS = r"^(?:[ \t]*>)+"
 _SEPARATOR = "\u001e"
+#: Words of a line that links by itself; shorter ones ("yes", "thanks a lot") are written by anybody.
+LINE_WORDS = 3
 
 
 def _level(line: Column) -> Column:
@@ -26,8 +28,8 @@ def _normal(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` plus ``__own`` (the text without quoted lines), ``__quotes`` (``array<struct<level, hash>>`` of quoted passages) and
-    ``__wrote`` (hashes of the passages at level 0)."""
+    """``messages`` plus ``__own`` (the text without quoted lines), ``__quotes`` (``array<struct<level, hash, lines>>`` of quoted passages,
+    ``lines``: hashes of their lines of ``LINE_WORDS`` or more) and ``__wrote`` (hashes of the passages and such lines at level 0)."""
     body = F.regexp_replace(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), _SEPARATOR, " ")
     keep = [F.col(f"`{c}`") for c in messages.columns]
     marked = F.transform(
@@ -45,25 +47,37 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select(*keep, "__lines", F.slice(F.split(F.array_join(number, ""), _SEPARATOR), 2, 1_000_000_000).alias("__parts"))
     part = F.transform(
         "__parts",
-        lambda p: F.struct(F.substring_index(p, "\n", 1).cast("int").alias("level"), _normal(F.regexp_replace(p, r"^\d+\n", "")).alias("words")),
+        lambda p: F.struct(
+            F.substring_index(p, "\n", 1).cast("int").alias("level"),
+            _normal(F.regexp_replace(p, r"^\d+\n", "")).alias("words"),
+            F.transform(F.split(F.regexp_replace(p, r"^\d+\n", ""), "\n"), _normal).alias("lines"),
+        ),
     )
     rows = rows.select(*keep, "__lines", part.alias("__p"))
-    hashes = F.transform(F.filter("__p", lambda p: p["words"] != ""), lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["words"]).alias("hash")))
+    long_enough = lambda x: F.size(F.split(x, " ")) >= LINE_WORDS
+    hashes = F.transform(
+        F.filter("__p", lambda p: p["words"] != ""),
+        lambda p: F.struct(
+            p["level"].alias("level"),
+            F.xxhash64(p["words"]).alias("hash"),
+            F.transform(F.filter(p["lines"], long_enough), lambda x: F.xxhash64(x)).alias("lines"),
+        ),
+    )
     rows = rows.select(*keep, "__lines", hashes.alias("__h"))
     own = F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     return rows.select(
         *keep,
         F.when(F.col(f"`{text}`").isNotNull(), own).alias("__own"),
         F.filter("__h", lambda p: p["level"] > 0).alias("__quotes"),
-        F.array_distinct(F.transform(F.filter("__h", lambda p: p["level"] == 0), lambda p: p["hash"])).alias("__wrote"),
+        F.array_distinct(F.flatten(F.transform(F.filter("__h", lambda p: p["level"] == 0), lambda p: F.concat(F.array(p["hash"]), p["lines"])))).alias("__wrote"),
     )
 
 
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, turn, role, text, reply_to, reply_root, reply_depth, n_quotes, n_linked`` of every message.
 
-    ``text`` has no quoted lines. ``reply_to`` is the latest earlier turn whose own passage the message quotes at level 1, else at the
-    deepest level linked; null where it quotes none: it then follows its conversation. ``reply_root`` and ``reply_depth``
+    ``text`` has no quoted lines. ``reply_to`` is the earlier turn from which the message quotes most at level 1 (a whole passage counts
+    one more than its lines; of equals the latest), else at the least deep level linked; null where it quotes none: it then follows its conversation. ``reply_root`` and ``reply_depth``
     follow the replies up; a conversation in reply order is ``(conv_id, reply_root, reply_depth, turn)``. A passage
     belongs to the first turn that wrote it. Null conversations are one conversation of their own, null turns neither quote nor are
     quoted, null texts stay null; repeated rows each have a row; an empty table gives an empty one.
@@ -76,10 +90,16 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     # The original of a passage: its first turn, a partial minimum; so every join below has one row a key on its right.
     wrote = rows.where("turn is not null").select("c", "turn", F.explode("__wrote").alias("hash"))
     first = wrote.groupBy("c", "hash").agg(F.min("turn").alias("origin"))
-    quotes = rows.where("turn is not null").select("c", "turn", F.explode("__quotes").alias("q")).select("c", "turn", "q.level", "q.hash").distinct()
-    met = quotes.join(first, ["c", "hash"]).where("origin < turn")
-    best = F.max(F.struct((-F.col("level")).alias("near"), F.col("origin").alias("origin")))
-    parents = cut(met.groupBy("c", "turn").agg(best["origin"].alias("reply_to"), F.count(F.lit(1)).alias("n_linked")))
+    quotes = rows.where("turn is not null").select("c", "turn", F.explode("__quotes").alias("q")).select("c", "turn", "q.level", F.col("q.hash").alias("passage"), "q.lines").distinct()
+    units = F.concat(F.array(F.struct(F.col("passage").alias("hash"), (F.size("lines") + 1).alias("weight"))), F.transform("lines", lambda x: F.struct(x.alias("hash"), F.lit(1).alias("weight"))))
+    units = quotes.select("c", "turn", "level", "passage", F.explode(units).alias("u")).select("c", "turn", "level", "passage", "u.hash", "u.weight")
+    met = units.join(first, ["c", "hash"]).where("origin < turn")
+    # Sums by passage first, so that links of passages can be counted, then by origin.
+    met = cut(met.groupBy("c", "turn", "level", "passage", "origin").agg(F.sum("weight").alias("weight")))
+    most = met.groupBy("c", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "weight", "origin"))
+    n_linked = met.select("c", "turn", "level", "passage").distinct().groupBy("c", "turn").agg(F.count(F.lit(1)).alias("n_linked"))
+    parents = cut(most.groupBy("c", "turn").agg(best["origin"].alias("reply_to")).join(n_linked, ["c", "turn"]))
     # Roots and depths by doubling: after k rounds each message knows its ancestor 2**k replies up.
     at = parents.select("c", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"))
     while True:

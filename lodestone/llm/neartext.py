@@ -4,7 +4,7 @@ Four bits of 64 are a tight rule: most pairs whose sets of five-word shingles ar
 fingerprints that ``simhash.links`` joins, texts meet in buckets of equal bands of a min-wise signature, and of one component of those
 links. Within a bucket, a text is first proposed to those most like it by signature and along a spanning forest of the best such links.
 Every proposed pair is then decided by its sets of shingles, and groups are the connected components of the pairs that hold. What is
-left apart is proposed again, to twice as many each round, until every pair of a bucket with an estimate above the bound is in one
+left apart is proposed again, to more each round, until every pair of a bucket with an estimate above the bound is in one
 group or decided.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import connected, cut, written
+from .shared import connected, cut, dropped, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,14 +27,15 @@ BANDS, ROWS = 16, 4
 HASHES = 128
 #: How far an estimate from ``HASHES`` values may lie below the similarity of a pair (about three standard errors).
 SLACK = 0.11
-#: Texts that each is proposed to in the first rounds; later rounds double it until no list is cut short.
+#: Texts that each is proposed to in the first rounds; later rounds take ``FASTER`` times as many until no list is cut short.
 NEIGHBOURS = 3
+FASTER = 8
 #: Texts of one bucket compared in one task, two parts of this many; a larger bucket is dealt to several tasks.
 PART = 2048
-#: Dropped rows up to which their ids are broadcast.
-DROPPED_ROWS = 2_000_000
+#: Dropped rows up to which their ids are broadcast (16 MB).
+DROPPED_ROWS = 500_000
 
-_PRINTS = "doc_id long, row_hash long, content binary, fp long, signature binary"
+_PRINTS = "doc_id long, row_hash long, content binary, fp long, signature binary, short binary"
 _random = np.random.default_rng(20240607)
 _FLIP = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -53,16 +54,18 @@ def _prints(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                contents, fps, signatures = [], [], []
+                contents, fps, signatures, shorts = [], [], [], []
                 for body in part.column(2):
                     words = simhash.words_of(body.as_py())
                     hashes = simhash.shingle_hashes(words, shingle)
                     contents.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     fps.append(simhash.fingerprint(hashes))
-                    signatures.append(signature(hashes).tobytes())
+                    least = signature(hashes)
+                    signatures.append(least.tobytes())
+                    shorts.append(least.astype(np.uint8).tobytes())
                 columns = [
                     part.column(0), part.column(1), pa.array(contents, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                    pa.array(signatures, pa.binary()),
+                    pa.array(signatures, pa.binary()), pa.array(shorts, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PRINTS.split(", ")])
 
@@ -114,7 +117,7 @@ def _proposals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(contents)
         if n < 2:
             return []
-        s = np.frombuffer(b"".join(held["signatures"]), "<u2").reshape(n, HASHES)
+        s = np.frombuffer(b"".join(held["signatures"]), np.uint8).reshape(n, HASHES)
         need = int(np.floor((SIMILARITY - SLACK) * HASHES))
         best, parent = np.full(n, -1), np.full(n, -1)
         open_ = np.ones(n, bool)
@@ -166,7 +169,7 @@ def _again(k: int):
         if len(set(labels)) < 2:
             return
         whose = np.array(contents, object)
-        s = np.frombuffer(b"".join(signatures), "<u2").reshape(len(contents), HASHES)
+        s = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(contents), HASHES)
         label = np.unique(np.array(labels, object), return_inverse=True)[1]
         more = False
         xs, ys, held = [], [], 0
@@ -233,7 +236,8 @@ def _candidates(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = _bands(contents).unionAll(prints)
     full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(bands.join(full, "band").select("band", "content", F.ceil(F.col("n") / PART).alias("parts")))
-    signed = _dealt(members).join(contents.select("content", "signature"), "content").select("band", "p", "q", "content", "signature")
+    # Buckets are compared by the low byte of each value: it is half as long, and estimates grow by a 256th at most.
+    signed = _dealt(members).join(contents.select("content", "short"), "content").select("band", "p", "q", "content", "short")
     by_band = _sorted(signed).mapInArrow(_proposals, "a binary, b binary")
     # Texts of one fingerprint are proposed to its first, and firsts of linked fingerprints to each other.
     same = contents.join(first, "fp").select(F.col("first").alias("a"), F.col("content").alias("b"))
@@ -253,9 +257,8 @@ def _held(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _connected(contents: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of the groups: decides ``pairs``, then in rounds those that buckets propose among texts still apart."""
-    # Written, not checkpointed: a checkpoint keeps the planner's estimate of its size, which multiplies with each join of each round.
     held = written(_held(pairs, sets, similarity), "held")
-    nodes = written(connected(held), "nodes")
+    nodes = connected(held)
     k = NEIGHBOURS
     while True:
         tagged = members.join(nodes.withColumnRenamed("node", "content"), "content", "left")
@@ -263,8 +266,8 @@ def _connected(contents: DataFrame, members: DataFrame, pairs: DataFrame, sets:
         apart = tagged.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         tagged = _dealt(tagged.join(apart, "band", "left_semi"))
         # Only texts of some pair have a partner above the bound.
-        signed = tagged.join(sets.select("content"), "content", "left_semi").join(contents.select("content", "signature"), "content")
-        signed = _sorted(signed.select("band", "p", "q", "content", "signature", "label"))
+        signed = tagged.join(sets.select("content"), "content", "left_semi").join(contents.select("content", "short"), "content")
+        signed = _sorted(signed.select("band", "p", "q", "content", "short", "label"))
         found = written(signed.mapInArrow(_again(k), "band long, a binary, b binary"), "found")
         new = written(_ordered(found.where("a is not null")).join(pairs, ["a", "b"], "left_anti"), "new")
         more = cut(found.where("a is null").select("band").distinct())
@@ -273,11 +276,13 @@ def _connected(contents: DataFrame, members: DataFrame, pairs: DataFrame, sets:
             right = written(_held(new, sets, similarity), "right")
             if not right.isEmpty():
                 held = held.unionAll(right)
-                nodes = written(connected(held), "nodes")
+                done, nodes = nodes, connected(held)
+                dropped(done)
+        dropped(found)
         if more.isEmpty():
             return nodes
         members = cut(members.join(more, "band", "left_semi"))
-        k *= 2
+        k *= FASTER
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -286,8 +291,13 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     Texts with the same words, null and empty ones included, are copies. ``row_hash`` is xxhash64 of the text, so that a row is
     known again where ids repeat. Null ids never name a group (null only where all are null); an empty table gives an empty one.
     """
+    return _grouped(docs, doc, text, shingle, similarity).select("doc_id", "row_hash", "component_id")
+
+
+def _grouped(docs: DataFrame, doc: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``groups`` plus ``root``, which names the group whatever its ids."""
     prints = written(_prints(docs, doc, text, shingle), "prints")
-    one = prints.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("signature").alias("signature"))
+    one = prints.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("signature").alias("signature"), F.min("short").alias("short"))
     contents = written(one, "contents")
     members, pairs = _candidates(contents)
     ends = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
@@ -303,23 +313,29 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     rooted = contents.select("content", "least").join(nodes.withColumnRenamed("node", "content"), "content", "left")
     rooted = rooted.select("content", "least", F.coalesce("root", "content").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(named, "root").select("content", "component_id")
-    return prints.select("doc_id", "row_hash", "content").join(known, "content").select("doc_id", "row_hash", "component_id")
+    known = rooted.join(named, "root").select("content", "component_id", "root")
+    return prints.select("doc_id", "row_hash", "content").join(known, "content").select("doc_id", "row_hash", "component_id", "root")
 
 
 def kept(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` for each group of near-copies: that of its smallest doc_id (repeated rows: one of them; where a group's
-    ids are all null, its rows stay)."""
-    rows = cut(groups(docs, doc, text, **options))
-    lost = cut(rows.where("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id", "row_hash").distinct())
-    few = lost.count() <= DROPPED_ROWS
+    """One row of ``docs`` for each group of near-copies: that of its smallest doc_id (null ids last), of the texts of that id the one of the
+    least hash, and of rows that repeat id and text one. Unrelated rows stay, whatever their ids are."""
+    rows = _grouped(docs, doc, text, **options).groupBy("root", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("best"))
+    judged = rows.join(best, "root")
+    best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_hash").eqNullSafe(F.col("best.row_hash")))
+    judged = cut(judged.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__l"), best.alias("best"), "n").where("not best or n > 1"))
+    few = judged.count() <= DROPPED_ROWS
+    sized = lambda x: F.broadcast(x) if few else x
+    same = F.col(f"`{doc}`").cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__l"))
     out = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    same = F.col(f"`{doc}`").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__l"))
-    gone = lost.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__l"))
-    out = out.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = cut(rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).count().where("count > 1").select("__d"))
-    if not again.isEmpty():  # ids that stand for several rows of one group; null ids and all others are left alone
-        ids = F.col(f"`{doc}`").cast("long") == F.col("__d")
-        once = out.join(again, ids, "left_semi").dropDuplicates([doc])
-        out = out.join(again, ids, "left_anti").unionAll(once)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    again = judged.where("best")
+    if again.isEmpty():
+        return out.join(sized(judged.select("__d", "__l")), same, "left_anti").select(*names)
+    alone = out.join(sized(judged.select("__d", "__l")), same, "left_anti").select(*names)
+    # Rows that repeat id and text: the one whose columns hash least, by partial minima.
+    row = F.struct(*names)
+    once = out.join(sized(again.select("__d", "__l")), same).groupBy("__d", "__l").agg(F.min_by(row, F.xxhash64(*names)).alias("r"))
+    return alone.unionAll(once.select(*[F.col(f"r.`{c}`") for c in docs.columns]))

@@ -191,6 +191,48 @@ def test_matching_statistics():
         assert n == max((k for k in range(1, 6) if k <= i + 1 and tuple(text[i + 1 - k : i + 1]) in runs), default=0)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Licensed under CC BY 4.0", {"cc-by"}),
+        ("Licensed under the GNU Lesser General Public License, version 3", {"lgpl"}),
+        ("Released under the BSD License.", {"bsd"}),
+        ("Licensed under the Apache Software License", {"apache-software"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"cc-by-nc", "cc-by-nc-notice"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-notice"}),
+        (licenses.TEMPLATES["gpl-notice"].replace("GNU General", "GNU Lesser General"), {"lgpl", "lgpl-notice"}),
+        (licenses.TEMPLATES["lgpl-notice"].replace("Lesser ", ""), {"gpl", "gpl-notice"}),
+        ("Permission to use the software is granted by the license of the house", set()),
+        ("", set()),
+    ],
+)
+def test_licence_labels(text, labels):
+    assert set(licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, licenses.NAMES).scan(text)["labels"]) == labels
+
+
+def test_licence_coverage_against_longest_common_runs():
+    # Single cuts of templates in words that no template has: the coverage is the longest common run (by dynamic programming) of the template.
+    scanner = licenses.Scanner({}, licenses.TEMPLATES)
+    rng = np.random.default_rng(2)
+    for label in ("mit-text", "bsd-text", "isc-text", "apache-notice", "mpl-notice", "gpl-notice"):
+        t = licenses.words_of(licenses.TEMPLATES[label])
+        for _ in range(5):
+            a = int(rng.integers(0, len(t) // 2))
+            w = [b"zzx", *t[a : a + int(rng.integers(3, len(t) - a + 1))], b"zzy"]
+            got = scanner.scan(b" ".join(w).decode())
+            best = 0.0
+            for body in licenses.TEMPLATES.values():
+                u = licenses.words_of(body)
+                if set(u) & scanner.telling:
+                    continue
+                row, most = [0] * (len(u) + 1), 0
+                for x in w:
+                    row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(u)]
+                    most = max(most, *row)
+                best = max(best, most / len(u))
+            assert got["score"] >= best - 1e-9 and (label in got["labels"]) == ((len(w) - 2) / len(t) >= licenses.MIN_COVERAGE)
+
+
 def test_template_spans():
     scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
     body = licenses.TEMPLATES["mit-text"].replace("sublicense", "resell").replace("without restriction", "without any restriction")

@@ -321,14 +321,14 @@ def scanned(
     Null and empty texts have no words and no labels; each row is scanned by itself; other columns pass unchanged. Templates are
     parameters, few and short; each task builds the automaton.
     """
-    names = docs.columns
-    at = names.index(text)
+    columns = docs.columns
+    at = columns.index(text)
     chosen = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, NAMES if names is None else names)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*chosen)
         for batch in batches:
             found = pa.array([scanner.scan(x.as_py()) for x in batch.column(at)], _ARROW)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, "__licence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*columns, "__licence"])
 
     return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("__licence", RESULT)]))

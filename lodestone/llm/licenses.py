@@ -2,7 +2,7 @@
 
 Templates and phrases are sequences of words. The automaton holds every run of words of every one of them; streaming a text
 through it gives its matching statistics: at each word, the longest run ending there that some template holds. Long runs
-that are not part of longer ones are chained, template by template, into spans, and a template's share of words
+that are not part of longer ones are chained, for the templates that hold all of such a run, into spans, and a template's share of words
 covered by its best span, of its own words and those put in between, is its coverage.
 """
 

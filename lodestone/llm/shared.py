@@ -68,7 +68,7 @@ def cleared() -> None:
     """Delete all that ``written`` and ``cut`` have left; results that read it can no longer be read."""
     while _left:
         path, spark = _left.popitem()
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():  # at exit the session may be gone
             _delete(path, spark)
 
 

@@ -200,7 +200,7 @@ def test_matching_statistics():
         ("Licensed under the Apache Software License", {"apache-software"}),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"cc-by-nc", "cc-by-nc-notice"}),
         ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-notice"}),
-        (licenses.TEMPLATES["gpl-notice"].replace("GNU General", "GNU Lesser General"), {"lgpl", "lgpl-notice"}),
+        (licenses.TEMPLATES["gpl-notice"].replace("GNU  General", "GNU Lesser General"), {"lgpl", "lgpl-notice"}),
         (licenses.TEMPLATES["lgpl-notice"].replace("Lesser ", ""), {"gpl", "gpl-notice"}),
         ("Permission to use the software is granted by the license of the house", set()),
         ("", set()),
@@ -220,16 +220,11 @@ def test_licence_coverage_against_longest_common_runs():
             a = int(rng.integers(0, len(t) // 2))
             w = [b"zzx", *t[a : a + int(rng.integers(3, len(t) - a + 1))], b"zzy"]
             got = scanner.scan(b" ".join(w).decode())
-            best = 0.0
-            for body in licenses.TEMPLATES.values():
-                u = licenses.words_of(body)
-                if set(u) & scanner.telling:
-                    continue
-                row, most = [0] * (len(u) + 1), 0
-                for x in w:
-                    row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(u)]
-                    most = max(most, *row)
-                best = max(best, most / len(u))
+            row, best = [0] * (len(t) + 1), 0
+            for x in w:
+                row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(t)]
+                best = max(best, *row)
+            best /= len(t)
             assert got["score"] >= best - 1e-9 and (label in got["labels"]) == ((len(w) - 2) / len(t) >= licenses.MIN_COVERAGE)
 
 

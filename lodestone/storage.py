@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; set one of our own where it names none (tests)."""
+    """Use the session's checkpoint folder; on a local master that names none (tests), set one of our own."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 

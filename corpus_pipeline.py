@@ -8,7 +8,8 @@ from lodestone.llm import stages
 from lodestone.llm.shared import written
 
 STAGES = stages.STAGES
-#: Fingerprints, tokens and seeded choices have no SQL; tests/llm holds each stage against a brute-force version.
+#: Fingerprints, tokens and seeded choices have no SQL. tests/llm holds the operators against brute-force versions; of the pipeline as a whole
+#: it checks that stages keep the columns and that reruns agree.
 ORACLE_SQL = None
 
 

@@ -69,7 +69,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document (see ``lm``); the target is the documents labelled good and not toxic."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chosen = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return lm.scored(docs, lm.trained(docs, chosen)).select("doc_id", "__lm.n_words", "__lm.loss_target", "__lm.loss_background", "__lm.score")
+    return lm.scored(docs, chosen).select("doc_id", "__lm.n_words", "__lm.loss_target", "__lm.loss_background", "__lm.score")
 
 
 def op7_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

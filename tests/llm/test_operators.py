@@ -221,35 +221,62 @@ def test_of_a_repeated_row_one_stays_whatever_its_other_columns(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "a b c"), (3, "d")]
 
 
-def test_language_models(spark):
+def losses(corpus, chosen, texts):
+    """Brute-force losses ``(target, background)`` of texts; ``chosen`` says of each corpus text whether the target counts it."""
+    models = []
+    for only in (True, False):
+        held = [lm.words_of(t) for t, c in zip(corpus, chosen, strict=True) if c or not only]
+        pairs = Counter(p for w in held for p in zip([None, *w], w, strict=False))
+        models.append((Counter(w for h in held for w in h), pairs, Counter(p for h in held if h for p in [None, *h[:-1]])))
+    base = models[1][0]
+    out = []
+    for words in map(lm.words_of, texts):
+        row = []
+        for single, pairs, contexts in models:
+            total, loss = sum(single.values()), 0.0
+            for v, w in zip([None, *words], words, strict=False):
+                own = (single[w] + lm.BASE * max(base[w], 1) / (sum(base.values()) + 1)) / (total + lm.BASE)
+                loss -= np.log((pairs[v, w] + lm.PRIOR * own) / (contexts[v] + lm.PRIOR))
+            row.append(loss / len(words) if words else None)
+        out.append(tuple(row))
+    return out
+
+
+@pytest.mark.parametrize("chunk,ranges", [(lm.CHUNK, lm.RANGES), (97, 5), (300, 60)])
+def test_language_models_equal_brute_force(spark, monkeypatch, chunk, ranges):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "RANGES", ranges)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1 << 40)
     rng = np.random.default_rng(0)
-    common = [f"w{i}" for i in range(30)]
-    texts = [(i, " ".join(rng.choice(common, 40)) + (" special token here" * 3 if i % 2 else "")) for i in range(40)] + [(90, None), (91, ""), (92, "ONE")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    chosen = spark.createDataFrame([(i,) for i in range(1, 20, 2)] + [(None,), (1,)], "doc_id long")
-    model = lm.trained(docs, chosen, size=20, bigrams=100)
-    model.prepare()
-    for before in range(lm.START, model.n):
-        for m in (0, 1):
-            every = [model.losses(np.array([before, w]))[m][1] for w in range(model.n)]
-            assert np.isclose(np.exp(-np.array(every)).sum(), 1)
-    rows = {r["doc_id"]: r for r in lm.scored(docs, model).select("doc_id", "__lm.*").collect()}
-    assert rows[90]["n_words"] == 0 and rows[91]["score"] is None and rows[92]["n_words"] == 1
-    full = {r["doc_id"]: r for r in lm.scored(docs, lm.trained(docs, chosen)).select("doc_id", "__lm.*").collect()}
-    assert np.mean([full[i]["score"] for i in range(21, 40, 2)]) < np.mean([full[i]["score"] for i in range(0, 40, 2)])
-    count = Counter(w for _, t in texts for w in lm.words_of(t))
-    level = sorted(count.values(), reverse=True)[20]
-    assert model.words == sorted((w for w, c in count.items() if c > level), key=lambda w: (-count[w], w)) and 0 < len(model.words) <= 20
-    assert model.unigrams[0].sum() == sum(count.values())
-
-
-def test_language_model_counts_do_not_depend_on_folding(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(60))) for i in range(50)], "doc_id long, text string")
-    chosen = docs.where("doc_id < 9").select("doc_id")
-    one = lm.trained(docs, chosen, size=10, bigrams=40)
-    monkeypatch.setattr(lm, "_HELD", 60)
-    two = lm.trained(docs.repartition(7), chosen, size=10, bigrams=40)
-    assert (one.keys == two.keys).all() and (one.counts == two.counts).all() and (one.unigrams == two.unigrams).all() and (one.contexts == two.contexts).all()
+    common = [f"w{i}" for i in range(200)] + ["the"] * 120
+    texts = [" ".join(rng.choice(common, rng.integers(1, 60))) + (" Special token HERE" * 3 if i % 2 else "") for i in range(120)]
+    texts += ["the the the the the", "ONE", "", None, "the w1", "the w1", "é \u00a0x y", "long " * 3000]
+    ids = [*range(len(texts) - 3), None, 5, 6]
+    rows = spark.createDataFrame(list(zip(ids, texts, range(len(ids)), strict=True)), "doc_id long, text string, `n_words.` int").repartition(6)
+    picked = spark.createDataFrame([(i,) for i in range(1, 20, 2)] + [(None,), (1,)], "doc_id long")
+    found = lm.scored(rows, picked, carry=["n_words.", "doc_id"]).select("`n_words.`", "__lm.*").collect()
+    want = losses(texts, [i is not None and i % 2 and i < 20 for i in ids], texts)
+    assert len(found) == len(texts)
+    for r in found:
+        target, base = want[r["n_words."]]
+        assert r["n_words"] == len(lm.words_of(texts[r["n_words."]]))
+        if target is None:
+            assert (r["loss_target"], r["loss_background"], r["score"]) == (None, None, None)
+        else:
+            assert np.allclose([r["loss_target"], r["loss_background"], r["score"]], [target, base, target - base], rtol=1e-5, atol=1e-5)
+
+
+def test_language_models_of_another_corpus_and_of_none(spark):
+    corpus = ["a b a b c", "b c d", "a b"]
+    counted = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b z", "x"), (7, "z z", "y"), (None, None, None)], "doc_id long, text string, __lm string").drop("__lm")
+    picked = counted.where("doc_id = 1").select("doc_id")
+    found = lm.scored(asked, picked, corpus=counted).select("doc_id", "__lm.*").orderBy("doc_id").collect()
+    assert [r["n_words"] for r in found] == [0, 3, 2] and found[0]["score"] is None
+    for r, (target, base) in zip(found[1:], losses(corpus, [False, True, False], ["a b z", "z z"]), strict=True):
+        assert np.allclose([r["loss_target"], r["loss_background"]], [target, base], rtol=1e-5)
+    assert lm.scored(asked.limit(0), picked).count() == 0
+    assert lm.scored(asked, picked, corpus=counted.limit(0)).count() == 3
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")

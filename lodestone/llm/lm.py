@@ -34,7 +34,7 @@ from .shared import cut, written
 PRIOR, BASE = 50.0, 1000.0
 #: Tokens that a task holds before it sends them on; bytes of text to a range of words, and ranges at least.
 CHUNK = 1_000_000
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 RANGES = 32
 #: Chosen ids (one long each) up to which their table is broadcast.
 CHOSEN_ROWS = 500_000
@@ -303,24 +303,31 @@ def _folder(sent):
             own = read.planes(n_own, 8)
             befores.append(read.planes(n, 6))
             words.append(own[read.planes(n, 4)])
-            docs.append(np.cumsum(read.planes(n, 4)).astype(np.int64))
-            counts.append(read.planes(n, 4).astype(np.float64))
+            docs.append(np.cumsum(read.planes(n, 4)).astype(np.int32))
+            counts.append(read.planes(n, 4).astype(np.int32))
             marks.append(np.frombuffer(read.raw, np.uint8, n, read.at))
             sizes.append(n)
-        word, count, mark = np.concatenate(words), np.concatenate(counts), np.concatenate(marks)
-        _, pair_of = np.unique(_paired(word, np.concatenate(befores)), return_inverse=True)
+        word, before, count, mark = np.concatenate(words), np.concatenate(befores), np.concatenate(counts), np.concatenate(marks)
+        words, befores, counts, marks = [], [], [], []
+        pair_of = np.unique(_paired(word, before), return_inverse=True)[1].astype(np.int32)
         every, word_of = np.unique(word, return_inverse=True)
+        word_of = word_of.astype(np.int32)
+        del word, before
         at, hot = _found(heavy.words, every)
-        ends = (mark & LAST > 0).astype(np.float64)
-        on = [count * (mark & bit > 0) for bit in (COUNTED, CHOSEN)]
-        bigrams = np.stack([np.bincount(pair_of, weights=w) for w in on])
-        unigrams = np.stack([np.bincount(word_of, weights=w) for w in on])
-        contexts = unigrams - np.stack([np.bincount(word_of, weights=ends * (mark & bit > 0)) for bit in (COUNTED, CHOSEN)])
-        after = np.log(contexts + PRIOR)
+        ends = mark & LAST > 0
+        bigrams, unigrams, contexts = [], [], []
+        for bit in (COUNTED, CHOSEN):
+            on = count * (mark & bit > 0)
+            bigrams.append(np.bincount(pair_of, weights=on))
+            unigrams.append(np.bincount(word_of, weights=on))
+            contexts.append(unigrams[-1] - np.bincount(word_of, weights=ends * (mark & bit > 0)))
+        unigrams, after = np.stack(unigrams), np.log(np.stack(contexts) + PRIOR)
         if hot.any():
             unigrams[:, hot] = heavy.unigrams[:, at[hot]]
             after[:, hot] = 0.0
-        loss = count * heavy.first(bigrams[:, pair_of], unigrams[:, word_of]) + (count - ends) * after[:, word_of]
+        own = PRIOR * heavy.own(unigrams)
+        loss = [count * -np.log(bigrams[m][pair_of] + own[m][word_of]) + (count - ends) * after[m][word_of] for m in (0, 1)]
+        del bigrams, pair_of, word_of, count
         begun = 0
         for (chunk, _), doc, n in zip(packs, docs, sizes, strict=True):
             asked = mark[begun : begun + n] & ASKED > 0

@@ -33,8 +33,8 @@ from .shared import cut, written
 #: Weights of a word's own frequency after a context, and of the background's frequency in a word's own one.
 PRIOR, BASE = 50.0, 1000.0
 #: Tokens that a task holds before it sends them on; bytes of text to a range of words, and ranges at least.
-CHUNK = 1_000_000
-RANGE_BYTES = 8 << 20
+CHUNK = 400_000
+RANGE_BYTES = 4 << 20
 RANGES = 32
 #: Chosen ids (one long each) up to which their table is broadcast.
 CHOSEN_ROWS = 500_000
@@ -60,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Chunk:
-    """Texts of a task, a million tokens or one text more: words as places in the chunk's own list of word hashes."""
+    """Texts of a task, ``CHUNK`` tokens or one text more: words as places in the chunk's own list of word hashes."""
 
     def __init__(self, lens: list[int], marks: list[int], parts: list[np.ndarray], words: Iterable[bytes], pieces: list[pa.RecordBatch]) -> None:
         self.pieces, self.lens, self.marks = pieces, np.array(lens, np.int64), np.array(marks, np.uint8)

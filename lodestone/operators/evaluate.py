@@ -13,7 +13,7 @@ from . import search
 
 
 def with_found(qrels: DataFrame, pages: DataFrame) -> DataFrame:
-    """``key, title, rel, found``: whether an article has the judged title; the first judgement of a title counts."""
+    """``key, title, rel, found``: whether an article has the judged title; of several judgements of a title the highest counts."""
     titles = pages.where(F.col("ns") == ARTICLE).select("title").distinct().withColumn("found", F.lit(True))
     once = qrels.groupBy("key", "title").agg(F.max("rel").alias("rel"))
     return once.join(titles, "title", "left").select("key", "title", "rel", F.coalesce("found", F.lit(False)).alias("found"))

@@ -37,7 +37,7 @@ class Engine:
 
     @cached_property
     def index(self) -> search.SearchIndex:
-        return search.build(self.pages, self.tables["internal_texts"])
+        return search.stored(search.build(self.pages, self.tables["internal_texts"]))
 
     def search(self, query: str, interactive: bool = True) -> DataFrame:
         """The best pages with the first 64 words of their texts as ``snippet``."""

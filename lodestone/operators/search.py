@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import sys
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ARTICLE, DEFAULT, EngineConfig
 from ..functions.text import query_terms
+from ..storage import shared_dir
 from . import textindex
 from .textindex import TextIndex
 
@@ -38,10 +40,20 @@ def build(pages: DataFrame, texts: DataFrame) -> SearchIndex:
     return SearchIndex(pages, texts, *made)
 
 
+def stored(index: SearchIndex, folder: str | None = None) -> SearchIndex:
+    """The same search index with its four text indexes written once under ``folder`` (or the shared one), for any number of queries."""
+    folder = folder or f"{shared_dir(index.pages.sparkSession)}/search-{uuid.uuid4().hex}"
+    names = ("title_unicode", "title_trigram", "text_unicode", "text_trigram")
+    return replace(index, **{name: getattr(index, name).stored(f"{folder}/{name}") for name in names})
+
+
 def idfs(index: TextIndex, queries: DataFrame) -> DataFrame:
     """``key, term, idf`` of the queries' terms, looked up as they stand; a term that no text holds has the largest double."""
-    terms = queries.select("key", F.explode(query_terms(F.col("query"))).alias("term"))
-    known = index.vocabulary().select("term", F.log1p(F.lit(float(index.n)) / F.col("doc")).alias("idf"))
+    terms, held = textindex.small(queries.select("key", F.explode(query_terms(F.col("query"))).alias("term")))
+    vocabulary = index.vocabulary()
+    if held is not None and len({row["term"] for row in held}) <= textindex.PUSHED:
+        vocabulary = vocabulary.where(F.col("term").isin(sorted({row["term"] for row in held})))
+    known = vocabulary.select("term", F.log1p(F.lit(float(index.n)) / F.col("doc")).alias("idf"))
     return terms.join(known, "term", "left").select("key", "term", F.coalesce("idf", F.lit(sys.float_info.max)).alias("idf"))
 
 

@@ -2,7 +2,8 @@
 
 An index is a table of postings, one row for each token of each text, and the texts' sizes. A phrase matches where all its tokens stand
 one after another: postings of its tokens, shifted by their places in the phrase, meet at one start. Many queries run in
-one plan; every table of matches is keyed by query.
+one plan; every table of matches is keyed by query. A stored index keeps its postings and vocabulary sorted by term, so that the tokens
+of a few queries, pushed to the scan, leave most row groups unread.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from ..functions.text import TOKENIZERS
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Rows of a query set that are gathered and broadcast; larger sets are joined by shuffles.
+SMALL_ROWS = 50_000
+#: Distinct tokens that become a filter on the scan of the postings.
+PUSHED = 500
 
 
 @dataclass(frozen=True)
@@ -27,20 +32,38 @@ class TextIndex:
     sizes: DataFrame
     n: int
     total: int
+    terms: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
         """``term, doc, cnt``: texts that hold a term and its occurrences."""
+        if self.terms is not None:
+            return self.terms
         return self.postings.groupBy("term").agg(F.countDistinct("doc_id").alias("doc"), F.count(F.lit(1)).alias("cnt"))
 
     def save(self, folder: str) -> None:
         """Write the index; postings sorted by term over range partitions, so that a query reads few row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{folder}/postings")
         self.sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
+        stored = self.postings.sparkSession.read.parquet(f"{folder}/postings")
+        TextIndex(self.kind, stored, self.sizes, self.n, self.total).vocabulary().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
 
+    def stored(self, folder: str) -> TextIndex:
+        """The same index, written under ``folder`` and read from there."""
+        self.save(folder)
+        return load(self.postings.sparkSession, folder, self.kind)
 
-def _of(kind: str, postings: DataFrame, sizes: DataFrame) -> TextIndex:
+
+def _of(kind: str, postings: DataFrame, sizes: DataFrame, terms: DataFrame | None = None) -> TextIndex:
     row = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).first()
-    return TextIndex(kind, postings, sizes, row["n"], row["t"] or 0)
+    return TextIndex(kind, postings, sizes, row["n"], row["t"] or 0, terms)
+
+
+def small(rows: DataFrame) -> tuple[DataFrame, list | None]:
+    """Rows of a query set: gathered and marked for broadcast, with a list of them, if at most ``SMALL_ROWS``; else as they are, and None."""
+    held = rows.limit(SMALL_ROWS + 1).collect()
+    if len(held) > SMALL_ROWS:
+        return rows, None
+    return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)), held
 
 
 def build(texts: DataFrame, kind: str) -> TextIndex:
@@ -52,7 +75,7 @@ def build(texts: DataFrame, kind: str) -> TextIndex:
 
 
 def load(spark, folder: str, kind: str) -> TextIndex:
-    return _of(kind, spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes"))
+    return _of(kind, *(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "sizes", "terms")))
 
 
 def phrases(terms: DataFrame, kind: str) -> DataFrame:
@@ -63,8 +86,12 @@ def phrases(terms: DataFrame, kind: str) -> DataFrame:
 
 def matches(index: TextIndex, terms: DataFrame) -> DataFrame:
     """``key, phrase, doc_id, f``: how often each text holds each term of ``terms(key, term)`` as a phrase."""
-    sought = phrases(terms, index.kind)
-    met = index.postings.join(sought, index.postings.term == sought.token)
+    sought, held = small(phrases(terms, index.kind))
+    postings = index.postings
+    tokens = None if held is None else {row["token"] for row in held}
+    if tokens is not None and len(tokens) <= PUSHED:
+        postings = postings.where(F.col("term").isin(sorted(tokens)))
+    met = postings.join(sought, F.col("term") == F.col("token"))
     starts = met.groupBy("key", "phrase", "tokens", "doc_id", (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("hits"))
     return starts.where(F.col("hits") == F.col("tokens")).groupBy("key", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
 
@@ -82,6 +109,7 @@ def bm25(index: TextIndex, terms: DataFrame, mode: str) -> DataFrame:
     ``mode``: "and" needs every term, and one without tokens matches nothing; "or" needs any; "bare" needs every term that has tokens.
     Statistics are over all texts of the index.
     """
+    terms, _ = small(terms)
     found = matches(index, terms)
     counts = found.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"))
     scored = found.join(counts, ["key", "phrase"]).join(index.sizes, "doc_id")

@@ -1,7 +1,7 @@
 """Every query of the engine by name, with its SQL where SQL can say it.
 
-Queries run over the link model that ``sources.fixture`` lays over the star-schema tables. Ranks are computed once for each session and
-folder and kept as a checkpoint; everything else is planned anew by each query.
+Queries run over the link model that ``sources.fixture`` lays over the star-schema tables. Ranks and the search index are made once for each
+session and folder and kept in the shared folder; everything else is planned anew by each query.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Filters lowered to suit the small tables (their defaults are 10 and 1,000).
 MIN_PAGES, MIN_PAGES_TLD, MIN_CITATIONS = 5, 20, 1
-SEARCHES = (("q1", "thanea attion"), ("q2", "anea"), ("q3", "eriner"), ("q4", "the"))
+SEARCHES = (("q1", "thanea attion"), ("q2", "anea"), ("q3", "eriner"), ("q4", "the"), ("q5", "thanea qqzxqqzx"))
 ROUNDS = 20
 
 
@@ -57,6 +57,18 @@ def ranked_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return m | {"internal_pages": pages}
 
 
+_indexes: dict[tuple, search.SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> search.SearchIndex:
+    """The stored search index of a folder, built once for each session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        m = ranked_model(spark, sf_dir)
+        _indexes[key] = search.stored(search.build(m["internal_pages"], m["internal_texts"]))
+    return _indexes[key]
+
+
 def shown(c: str) -> F.Column:
     """A rank or a sum of ranks for comparison: millionths, three decimals (sums differ in their last bits by order)."""
     return F.round(F.col(c) * 1e6, 3).alias(c)
@@ -363,16 +375,17 @@ def _rows(table: str, m: dict[str, DataFrame]) -> DataFrame:
 _VALUES = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, q in SEARCHES for t in q.split()) + ") v(key, term)"
 
 
-def _bm25_ctes(name: str) -> dict[str, str]:
+def _bm25_ctes(name: str, terms: str = "terms") -> dict[str, str]:
+    """BM25 of the terms in the table ``terms``: of texts with all terms of a key in ``{name}_and``, with any in ``{name}_or``."""
     kind = name.split("_")[1]
     if kind == "unicode":
-        found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(d.toks, lambda x: x = t.term)) AS DOUBLE) AS f, CAST(len(d.toks) AS DOUBLE) AS size FROM {name} d CROSS JOIN terms t"
+        found = f"SELECT t.key, t.term, d.doc_id, CAST(len(list_filter(d.toks, lambda x: x = t.term)) AS DOUBLE) AS f, CAST(len(d.toks) AS DOUBLE) AS size FROM {name} d CROSS JOIN {terms} t"
         size = "len(toks)"
     else:
         # Occurrences may overlap by a letter: those that a first count leaves between its own are counted after marking these.
         often = lambda text: f"(length({text}) - length(replace({text}, t.term, ''))) / length(t.term)"
         marked = "replace(d.low, t.term, left(t.term, -1) || chr(1) || right(t.term, 1))"
-        found = f"SELECT t.key, t.term, d.doc_id, CAST({often('d.low')} + {often(marked)} AS DOUBLE) AS f, CAST(d.size AS DOUBLE) AS size FROM {name} d JOIN terms t ON contains(d.low, t.term)"
+        found = f"SELECT t.key, t.term, d.doc_id, CAST({often('d.low')} + {often(marked)} AS DOUBLE) AS f, CAST(d.size AS DOUBLE) AS size FROM {name} d JOIN {terms} t ON contains(d.low, t.term)"
         size = "size"
     return {
         name: _INDEXES[name],
@@ -381,7 +394,8 @@ def _bm25_ctes(name: str) -> dict[str, str]:
         f"{name}_n": f"SELECT key, term, CAST(count(*) AS DOUBLE) AS n FROM {name}_f GROUP BY key, term",
         f"{name}_s": f"SELECT a.key, a.doc_id, -(CASE WHEN ln((s.n - b.n + 0.5) / (b.n + 0.5)) > 0 THEN ln((s.n - b.n + 0.5) / (b.n + 0.5)) ELSE 1e-6 END) * a.f * 2.2 / (a.f + 1.2 * (0.25 + 0.75 * a.size / s.mean)) AS s "
         f"FROM {name}_f a JOIN {name}_n b ON a.key = b.key AND a.term = b.term CROSS JOIN {name}_stats s",
-        f"{name}_and": f"SELECT s.key, s.doc_id, sum(s.s) AS bm25 FROM {name}_s s JOIN (SELECT key, count(*) AS k FROM terms GROUP BY key) t ON s.key = t.key GROUP BY s.key, s.doc_id, t.k HAVING count(*) = t.k",
+        f"{name}_and": f"SELECT s.key, s.doc_id, sum(s.s) AS bm25 FROM {name}_s s JOIN (SELECT key, count(*) AS k FROM {terms} GROUP BY key) t ON s.key = t.key GROUP BY s.key, s.doc_id, t.k HAVING count(*) = t.k",
+        f"{name}_or": f"SELECT key, doc_id, sum(s) AS bm25 FROM {name}_s GROUP BY key, doc_id",
     }
 
 
@@ -418,52 +432,72 @@ def vocab_trigram(spark, sf_dir):
     return textindex.build(_rows("title", fixture.model(spark, sf_dir)), "trigram").vocabulary()
 
 
-_IDF = {
-    "terms": _VALUES,
-    "title_unicode": _INDEXES["title_unicode"],
-    "idfs": "SELECT t.key, t.term, ln(1 + (SELECT count(*) FROM internal_pages)::DOUBLE / d.doc) AS idf FROM terms t JOIN (SELECT term, count(DISTINCT doc_id) AS doc FROM (SELECT doc_id, unnest(toks) AS term FROM title_unicode) x GROUP BY term) d ON t.term = d.term",
-    "kept": "SELECT key, term, idf FROM (SELECT *, max(idf) OVER (PARTITION BY key) AS top FROM idfs) x WHERE idf >= 1.5 OR (top < 1.5 AND idf = top)",
-}
+def _kept_ctes(table: str, terms: str = "terms") -> dict[str, str]:
+    """The terms of ``terms`` that count in titles or texts, in ``{table}_kept``; one that is nowhere has the largest double."""
+    name, rows = f"{table}_unicode", {"title": "internal_pages", "text": "internal_texts"}[table]
+    docs = f"SELECT term, count(DISTINCT doc_id) AS doc FROM (SELECT doc_id, unnest(toks) AS term FROM {name}) x GROUP BY term"
+    return {
+        name: _INDEXES[name],
+        f"{table}_idfs": f"SELECT t.key, t.term, coalesce(ln(1 + (SELECT count(*) FROM {rows})::DOUBLE / d.doc), 1.7976931348623157e308) AS idf FROM {terms} t LEFT JOIN ({docs}) d ON t.term = d.term",
+        f"{table}_kept": f"SELECT key, term, idf FROM (SELECT *, max(idf) OVER (PARTITION BY key) AS top FROM {table}_idfs) x WHERE idf >= 1.5 OR (top < 1.5 AND idf = top)",
+    }
 
 
-@query("idf_terms", oracle("SELECT key, term, round(idf, 9) AS idf FROM kept", _IDF))
+@query("idf_terms", oracle("SELECT key, term, round(idf, 9) AS idf FROM title_kept", {"terms": _VALUES, **_kept_ctes("title")}))
 def idf_terms(spark, sf_dir):
     made = textindex.build(_rows("title", fixture.model(spark, sf_dir)), "unicode")
     return search.kept_terms(search.idfs(made, _queries(spark))).select("key", "term", F.round("idf", 9).alias("idf"))
 
 
-_KEPT_TERMS = {**{k: v for k, v in _IDF.items() if k != "terms"}}
+def _stream_ctes(terms: str, interactive: bool) -> dict[str, str]:
+    """The streams' pages with their places, unweighted, in ``streams``: ``stream, key, id, title, bm25, rank1, place``."""
+    parts = {"terms": terms, **_kept_ctes("title"), **_kept_ctes("text"), "whole": "SELECT * FROM terms WHERE length(term) >= 3"}
+    if interactive:
+        used = (("title_unicode", "title_kept", "and"), ("title_trigram", "title_kept", "and"))
+    else:
+        used = (("title_unicode", "title_kept", "or"), ("title_trigram", "whole", "and"), ("text_unicode", "text_kept", "and"), ("text_trigram", "whole", "and"))
+    found = []
+    for stream, (name, which, mode) in enumerate(used):
+        parts.update(_bm25_ctes(name, which))
+        on = "id" if name.startswith("title") else "text_id"
+        found.append(
+            f"SELECT {stream} AS stream, s.key, p.id, p.title, s.bm25, r.rank1, row_number() OVER (PARTITION BY s.key ORDER BY s.bm25, p.id) AS place "
+            f"FROM {name}_{mode} s JOIN internal_pages p ON s.doc_id = p.{on} JOIN ranks r ON p.id = r.id WHERE p.ns = 0 AND p.text_id IS NOT NULL"
+        )
+    return {**_RANKED, **parts, "streams": " UNION ALL ".join(found)}
 
 
-def _search_sql() -> str:
-    parts = {"all_terms": _VALUES, **{k: v.replace("FROM terms t", "FROM all_terms t") for k, v in _KEPT_TERMS.items()}, "terms": "SELECT key, term FROM kept"}
-    for name in ("title_unicode", "title_trigram"):
-        parts.update(_bm25_ctes(name))
-    stream = (
-        "SELECT {no} AS stream, s.key, p.id, p.title, 2.0::DOUBLE * s.bm25 AS bm25, r.rank1, row_number() OVER (PARTITION BY s.key ORDER BY s.bm25, p.id) AS place "
-        "FROM {name}_and s JOIN internal_pages p ON s.doc_id = p.id JOIN ranks r ON p.id = r.id WHERE p.ns = 0 AND p.text_id IS NOT NULL"
-    )
-    parts["cand"] = " UNION ALL ".join(f"SELECT * FROM ({stream.format(no=i, name=n)}) x WHERE place <= 100" for i, n in enumerate(("title_unicode", "title_trigram")))
-    parts["scored"] = "SELECT *, 0.8::DOUBLE * -(bm25 / min(bm25) OVER (PARTITION BY key)) + (1 - 0.8::DOUBLE) * -(rank1 / max(rank1) OVER (PARTITION BY key)) AS score FROM cand"
-    parts["once"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY score, stream) AS o FROM scored) x WHERE o = 1"
-    return oracle(
-        f"SELECT key, position, page_id, title, round(bm25, 6) AS bm25, {_shown('rank1', 'rank')} FROM (SELECT key, row_number() OVER (PARTITION BY key ORDER BY score, id) AS position, id AS page_id, title, bm25, rank1 FROM once) x WHERE position <= 10",
-        {**_RANKED, **parts},
-    )
+def _fused_ctes(settings: list[EngineConfig]) -> dict[str, str]:
+    """The best pages of ``streams`` for each of ``settings``, in ``best``: ``setting, key, position, id, title, bm25, rank1``."""
+    values = ", ".join(f"({i}, {c.k1}, {c.title_unicode}::DOUBLE, {c.text_unicode}::DOUBLE, {c.alpha}::DOUBLE)" for i, c in enumerate(settings))
+    part = lambda a, b: f"coalesce({a} / nullif({b} OVER (PARTITION BY setting, key), 0), 0)"
+    return {
+        "settings": f"SELECT * FROM (VALUES {values}) v(setting, k1, title_weight, text_weight, alpha)",
+        "cand": "SELECT g.setting, g.alpha, s.stream, s.key, s.id, s.title, s.rank1, s.bm25 * CASE WHEN s.stream < 2 THEN g.title_weight ELSE g.text_weight END AS bm25 FROM streams s JOIN settings g ON s.place <= g.k1",
+        "scored": f"SELECT *, alpha * -{part('bm25', 'min(bm25)')} + (1 - alpha) * -{part('rank1', 'max(rank1)')} AS score FROM cand",
+        "once": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, key, id ORDER BY score, stream) AS o FROM scored) x WHERE o = 1",
+        "best": f"SELECT * FROM (SELECT setting, key, row_number() OVER (PARTITION BY setting, key ORDER BY score, id) AS position, id, title, bm25, rank1 FROM once) x WHERE position <= {settings[0].k2}",
+    }
 
 
-@query("search_interactive", _search_sql())
-def search_interactive(spark, sf_dir):
-    m = ranked_model(spark, sf_dir)
-    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), _queries(spark))
+def _search_sql(interactive: bool) -> str:
+    found = f"SELECT key, position, id AS page_id, title, round(bm25, 6) AS bm25, {_shown('rank1', 'rank')} FROM best"
+    return oracle(found, {**_stream_ctes(_VALUES, interactive), **_fused_ctes([EngineConfig()])})
+
+
+def _found(spark: SparkSession, sf_dir: str, interactive: bool) -> DataFrame:
+    found = search.search(search_index(spark, sf_dir), _queries(spark), interactive)
     return found.select("key", F.col("position").cast("long").alias("position"), "page_id", "title", F.round("bm25", 6).alias("bm25"), shown("rank"))
 
 
-@query("search_batch")
+@query("search_interactive", _search_sql(True))
+def search_interactive(spark, sf_dir):
+    return _found(spark, sf_dir, True)
+
+
+@query("search_batch", _search_sql(False))
 def search_batch(spark, sf_dir):
-    m = ranked_model(spark, sf_dir)
-    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), _queries(spark), interactive=False)
-    return found.select("key", "position", "page_id", "title", "bm25", "rank", "authority")
+    return _found(spark, sf_dir, False)
 
 
 def _fusion_values() -> str:
@@ -485,10 +519,14 @@ def fusion_golden(spark, sf_dir):
 
 # Evaluation
 
+#: Articles whose titles are asked: those of the stated query set, against all pages.
+_ASKED = "ns = 0 AND text_id IS NOT NULL AND id % 50 = 0"
+GRID = evaluate.grid(base=EngineConfig())
+
 
 def judgements(m: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Queries from titles of articles, and judgements: the page itself 2, an article whose title starts alike 1, an absent title 1."""
-    pages = m["internal_pages"].where("ns = 0 AND text_id IS NOT NULL AND id % 40 = 1")
+    pages = m["internal_pages"].where(_ASKED)
     words = F.slice(text_functions.unicode_tokens("title"), 1, 2)
     queries = pages.select(F.concat(F.lit("syn-"), F.col("id")).alias("key"), F.array_join(words, " ").alias("query"), "title", F.element_at(words, 1).alias("first"))
     near = m["internal_pages"].where("ns = 0 AND text_id IS NOT NULL").select(F.col("title").alias("other"), F.element_at(text_functions.unicode_tokens("title"), 1).alias("first"))
@@ -498,27 +536,56 @@ def judgements(m: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return queries.select("key", "query"), own.unionByName(like).unionByName(absent)
 
 
-def _evaluated(spark, sf_dir) -> DataFrame:
-    m = ranked_model(spark, sf_dir)
-    asked, judged = judgements(m)
-    found = search.search(search.build(m["internal_pages"], m["internal_texts"]), asked, interactive=False)
-    return evaluate.ndcg(found.select("key", "position", "title"), evaluate.with_found(judged, m["internal_pages"]))
+def _ndcg_ctes(settings: list[EngineConfig]) -> dict[str, str]:
+    """Search, judgements and both nDCGs of each setting and query, in ``ndcg``."""
+    k2 = settings[0].k2
+    gain = "sum(rel / log2(position + 1))"
+    terms = "SELECT DISTINCT key, unnest(toks[1:2]) AS term FROM asked"
+    titles = f"SELECT id, ns, text_id, title, {_TOKENS.format('title')} AS toks FROM internal_pages"
+    return {
+        "worded": titles,
+        "asked": f"SELECT 'syn-' || id AS key, title, toks FROM worded WHERE {_ASKED}",
+        **_stream_ctes(terms, False),
+        **_fused_ctes(settings),
+        "every_qrel": "SELECT key, title, 2 AS rel FROM asked UNION ALL SELECT key, 'absent ' || key, 1 FROM asked "
+        "UNION ALL SELECT a.key, w.title, 1 FROM asked a JOIN worded w ON a.toks[1] = w.toks[1] AND w.title <> a.title WHERE w.ns = 0 AND w.text_id IS NOT NULL",
+        "qrels": "SELECT key, title, max(rel) AS rel FROM every_qrel GROUP BY key, title",
+        "placed": "SELECT q.key, q.rel, row_number() OVER (PARTITION BY q.key ORDER BY q.rel DESC, q.title) AS position FROM qrels q WHERE q.title IN (SELECT title FROM internal_pages WHERE ns = 0)",
+        "ideal": f"SELECT key, {gain} AS ideal FROM placed WHERE position <= {k2} GROUP BY key",
+        "judged": "SELECT b.setting, b.key, b.position, q.rel FROM best b LEFT JOIN qrels q ON b.key = q.key AND b.title = q.title",
+        "strict": f"SELECT setting, key, {gain} AS strict FROM judged GROUP BY setting, key",
+        "closed": "SELECT setting, key, rel, row_number() OVER (PARTITION BY setting, key ORDER BY position) AS position FROM judged WHERE rel IS NOT NULL",
+        "loose": f"SELECT setting, key, {gain} AS loose FROM closed GROUP BY setting, key",
+        "ndcg": "SELECT g.*, i.key, coalesce(s.strict / i.ideal, 0) AS pessimistic, coalesce(l.loose / i.ideal, 0) AS optimistic FROM settings g CROSS JOIN ideal i "
+        "LEFT JOIN strict s ON s.setting = g.setting AND s.key = i.key LEFT JOIN loose l ON l.setting = g.setting AND l.key = i.key",
+    }
 
 
-@query("ndcg_pessimistic")
-def ndcg_pessimistic(spark, sf_dir):
-    return _evaluated(spark, sf_dir).select("key", F.col("ndcg_pessimistic").alias("ndcg"))
+def _ndcg_query(kind: str) -> None:
+    @query(f"ndcg_{kind}", oracle(f"SELECT key, round({kind}, 9) AS ndcg FROM ndcg", _ndcg_ctes([EngineConfig()])))
+    def run(spark, sf_dir):
+        m = ranked_model(spark, sf_dir)
+        asked, judged = judgements(m)
+        found = search.search(search_index(spark, sf_dir), asked, interactive=False)
+        by_query = evaluate.ndcg(found.select("key", "position", "title"), evaluate.with_found(judged, m["internal_pages"]))
+        return by_query.select("key", F.round(f"ndcg_{kind}", 9).alias("ndcg"))
 
 
-@query("ndcg_optimistic")
-def ndcg_optimistic(spark, sf_dir):
-    return _evaluated(spark, sf_dir).select("key", F.col("ndcg_optimistic").alias("ndcg"))
+_ndcg_query("pessimistic")
+_ndcg_query("optimistic")
 
 
-@query("grid_search_means")
+@query(
+    "grid_search_means",
+    oracle(
+        "SELECT k1, title_weight, text_weight, alpha, count(*) AS queries, round(avg(pessimistic), 9) AS ndcg_pessimistic, round(avg(optimistic), 9) AS ndcg_optimistic "
+        "FROM ndcg GROUP BY k1, title_weight, text_weight, alpha",
+        _ndcg_ctes(GRID),
+    ),
+)
 def grid_search_means(spark, sf_dir):
     m = ranked_model(spark, sf_dir)
     asked, judged = judgements(m)
-    made = search.build(m["internal_pages"], m["internal_texts"])
-    settings = evaluate.grid(base=EngineConfig())
-    return evaluate.grid_search(made, asked, evaluate.with_found(judged, m["internal_pages"]), settings)
+    out = evaluate.grid_search(search_index(spark, sf_dir), asked, evaluate.with_found(judged, m["internal_pages"]), GRID)
+    means = [F.round(c, 9).alias(c) for c in ("ndcg_pessimistic", "ndcg_optimistic")]
+    return out.select("k1", "title_weight", "text_weight", "alpha", "queries", *means)

@@ -16,6 +16,12 @@ def ready(spark: SparkSession) -> None:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's folder for what one job leaves for a later one."""
+    ready(spark)
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint."""
     ready(df.sparkSession)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as e
 
 SF = "/root/testdata/sf0.01"
-FAST = ["degrees_ns0", "redirect_statistics", "top_pages", "domain_authority", "page_profile", "bm25_title_unicode", "search_interactive", "ns_title_split"]
+FAST = ["degrees_ns0", "redirect_statistics", "top_pages", "domain_authority", "page_profile", "bm25_title_unicode", "search_interactive", "search_batch", "grid_search_means", "ns_title_split"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

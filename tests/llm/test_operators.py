@@ -140,6 +140,25 @@ def test_large_buckets_lose_no_link(spark):
     assert got == want
 
 
+def test_crowded_buckets_store_no_pairs_that_stay_apart(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    stored, cut = [], lines.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", counted)
+    monkeypatch.setattr(lines, "PART", 7, raising=False)
+    own = lambda: ["".join(rng.choice(list("klmnopqrst"), 9)) for _ in range(20)]
+    rows = [(i, " ".join([f"v{j:03d}" for j in range(60)] + own())) for i in range(150)]
+    rows.append((150, rows[77][1].replace("v030", "w030")))
+    got = {r["doc_id"]: r["first_doc"] for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(150)} | {150: 77}
+    assert max(stored) <= 20 * len(rows)
+
+
 def test_very_long_lines(spark):
     long = " ".join(f"word{i}" for i in range(6000))
     rows = [(1, long), (2, long.replace("word3000", "other").replace("word50 ", "x ")), (3, "a\n" + "b " * 9000)]

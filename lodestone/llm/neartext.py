@@ -3,9 +3,9 @@
 Four bits of 64 are a tight rule: most pairs whose sets of five-word shingles are 0.8 alike differ in 5 to 17 bits. So, besides the
 fingerprints that ``simhash.links`` joins, texts meet in buckets of equal bands of a min-wise signature, and of one component of those
 links. Within a bucket, a text is first proposed to those most like it by signature and along a spanning forest of the best such links.
-Every proposed pair is then decided by its sets of shingles, and groups are the connected components of the pairs that hold. What is
-left apart is proposed again, to more each round, until every pair of a bucket with an estimate above the bound is in one
-group or decided.
+Every proposed pair is then decided by its sets of shingles, and groups are the connected components of the pairs that hold. Texts of a
+bucket that are left apart meet once more, with their sets: every pair with an estimate above the bound is decided where it
+meets, and only links that join two groups leave the task.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ BANDS, ROWS = 16, 4
 HASHES = 128
 #: How far an estimate from ``HASHES`` values may lie below the similarity of a pair (about three standard errors).
 SLACK = 0.11
-#: Texts that each is proposed to in the first rounds; later rounds take ``FASTER`` times as many until no list is cut short.
+#: Texts that each is proposed to at first, before all that are left apart meet.
 NEIGHBOURS = 3
-FASTER = 8
 #: Texts of one bucket compared in one task, two parts of this many; a larger bucket is dealt to several tasks.
 PART = 2048
+#: Shingles of one part, where texts are long.
+SHINGLES = 1 << 20
 #: Dropped rows up to which their ids are broadcast (16 MB).
 DROPPED_ROWS = 500_000
 
@@ -155,54 +156,59 @@ def _proposals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(pairs())
 
 
-def _again(k: int):
-    """A mapInArrow function from rows ``band, p, q, content, signature, label`` sorted by the first three: each text's ``k`` most alike
-    of another label, as ``band, a, b``; a row with null ``a, b`` names a bucket where some text has more than ``k``."""
-    need = int(np.floor((SIMILARITY - SLACK) * HASHES))
-    names = ["band", "a", "b"]
+def _links(similarity: float):
+    """A mapInArrow function from rows ``band, p, q, content, short, label, s`` sorted by the first three to links ``a, b`` that hold and
+    join labels: all pairs of a bucket's part with different labels and an estimate above the bound are decided, and a forest is put out."""
+    need = int(np.floor((similarity - SLACK) * HASHES))
 
-    def batch_of(band: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(x), band, np.int64)), pa.array(x.tolist(), pa.binary()), pa.array(y.tolist(), pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    def pairs(band: int, contents: list, signatures: list, labels: list) -> Iterator[pa.RecordBatch]:
+    def links(contents: list, shorts: list, labels: list, sets: list) -> tuple[list, list]:
+        left, right = [], []
         if len(set(labels)) < 2:
-            return
-        whose = np.array(contents, object)
-        s = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(contents), HASHES)
+            return left, right
+        signs = np.frombuffer(b"".join(shorts), np.uint8).reshape(len(contents), HASHES)
         label = np.unique(np.array(labels, object), return_inverse=True)[1]
-        more = False
-        xs, ys, held = [], [], 0
-        for i in range(len(contents)):
-            alike = (s == s[i]).sum(axis=1, dtype=np.int16)
-            near = np.nonzero((alike >= need) & (label != label[i]))[0]
-            if len(near) > k:
-                more = True
-                near = near[np.argpartition(-alike[near], k - 1)[:k]]
-            xs.append(np.full(len(near), i))
-            ys.append(near)
-            held += len(near)
-            if held >= 1 << 16:
-                yield batch_of(band, whose[np.concatenate(xs)], whose[np.concatenate(ys)])
-                xs, ys, held = [], [], 0
-        if held:
-            yield batch_of(band, whose[np.concatenate(xs)], whose[np.concatenate(ys)])
-        if more:
-            yield batch_of(band, np.array([None]), np.array([None]))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        own = np.zeros(len(shingles) + 1, bool)
+        for i in np.nonzero(sizes)[0].tolist():
+            after = i + 1 + np.nonzero((label[i + 1 :] != label[i]) & (sizes[i + 1 :] > 0))[0]
+            after = after[(signs[after] == signs[i]).sum(axis=1, dtype=np.int16) >= need]
+            if not len(after):
+                continue
+            mine = shingles[starts[i] : starts[i] + sizes[i]]
+            own[mine] = True
+            for at in range(0, len(after), 256):
+                near = after[at : at + 256]
+                begins = np.cumsum(sizes[near]) - sizes[near]
+                which = np.repeat(starts[near] - begins, sizes[near]) + np.arange(sizes[near].sum())
+                both = np.add.reduceat(own[shingles[which]], begins, dtype=np.int64)
+                for j in near[both >= similarity * (sizes[i] + sizes[near] - both)].tolist():
+                    if label[j] != label[i]:
+                        left.append(contents[i])
+                        right.append(contents[j])
+                        label[label == label[j]] = label[i]
+            own[mine] = False
+        return left, right
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links(*held)], names=["a", "b"])
+
+        key, held = None, ([], [], [], [])
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for now, *row in zip(keys, *(batch.column(c).to_pylist() for c in range(3, 6)), strict=True):
+            values, ends = batch.column(6).flatten().to_numpy(), np.cumsum(batch.column(6).value_lengths().to_numpy())
+            sets = np.split(values, ends[:-1])
+            for now, *row in zip(keys, *(batch.column(c).to_pylist() for c in range(3, 6)), sets, strict=True):
                 if now != key:
                     if key is not None:
-                        yield from pairs(key[0], *held)
-                    key, held = now, ([], [], [])
-                for values, value in zip(held, row, strict=True):
-                    values.append(value)
+                        yield closed()
+                    key, held = now, ([], [], [], [])
+                for kept_, value in zip(held, row, strict=True):
+                    kept_.append(value)
         if key is not None:
-            yield from pairs(key[0], *held)
+            yield closed()
 
     return rows
 
@@ -256,33 +262,20 @@ def _held(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _connected(contents: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, root`` of the groups: decides ``pairs``, then in rounds those that buckets propose among texts still apart."""
+    """``node, root`` of the groups: decides ``pairs``, then all that buckets hold among texts still apart."""
     held = written(_held(pairs, sets, similarity), "held")
     nodes = connected(held)
-    k = NEIGHBOURS
-    while True:
-        tagged = members.join(nodes.withColumnRenamed("node", "content"), "content", "left")
-        tagged = tagged.select("band", "content", "parts", F.coalesce("root", "content").alias("label"))
-        apart = tagged.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        tagged = _dealt(tagged.join(apart, "band", "left_semi"))
-        # Only texts of some pair have a partner above the bound.
-        signed = tagged.join(sets.select("content"), "content", "left_semi").join(contents.select("content", "short"), "content")
-        signed = _sorted(signed.select("band", "p", "q", "content", "short", "label"))
-        found = written(signed.mapInArrow(_again(k), "band long, a binary, b binary"), "found")
-        new = written(_ordered(found.where("a is not null")).join(pairs, ["a", "b"], "left_anti"), "new")
-        more = cut(found.where("a is null").select("band").distinct())
-        if not new.isEmpty():
-            pairs = pairs.unionAll(new)
-            right = written(_held(new, sets, similarity), "right")
-            if not right.isEmpty():
-                held = held.unionAll(right)
-                done, nodes = nodes, connected(held)
-                dropped(done)
-        dropped(found)
-        if more.isEmpty():
-            return nodes
-        members = cut(members.join(more, "band", "left_semi"))
-        k *= FASTER
+    # Only texts of some pair have a partner above the bound, and only they have sets.
+    tagged = members.select("band", "content").join(sets.select("content", F.size("s").alias("size")), "content")
+    tagged = tagged.join(nodes.withColumnRenamed("node", "content"), "content", "left")
+    tagged = cut(tagged.select("band", "content", "size", F.coalesce("root", "content").alias("label")))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("size") / SHINGLES)).alias("parts")
+    apart = tagged.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), parts).where("x <> y").select("band", "parts")
+    signed = _dealt(tagged.drop("size").join(apart, "band")).join(contents.select("content", "short"), "content").join(sets, "content")
+    signed = _sorted(signed.select("band", "p", "q", "content", "short", "label", "s"))
+    found = written(signed.mapInArrow(_links(similarity), "a binary, b binary"), "links")
+    dropped(tagged)
+    return nodes if found.isEmpty() else connected(held.unionAll(found))
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -219,6 +219,28 @@ def test_near_copies_of_a_dense_template(spark, monkeypatch, part):
     assert got == want
 
 
+def test_a_crowd_below_the_bound_puts_out_no_pairs(spark, monkeypatch):
+    made, written = {}, neartext.written
+
+    def counted(df, name, **options):
+        out = written(df, name, **options)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neartext, "written", counted)
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):  # about 0.71 alike, so that estimates pass and sets do not
+        w = [f"t{j}" for j in range(300)]
+        for at in rng.choice(60, 5, replace=False).tolist():
+            w[5 * at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((60, rows[7][1] + " more"))
+    got = {r["doc_id"]: r["component_id"] for r in neartext.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)} | {60: 7}
+    assert sum(n for name, n in made.items() if name not in ("prints", "contents")) <= len(rows)
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "A  b c"), (3, None), (4, ""), (None, "x y"), (None, "x y"), (5, "a b d"), (1, "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

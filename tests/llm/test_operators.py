@@ -159,6 +159,54 @@ def test_crowded_buckets_store_no_pairs_that_stay_apart(spark, monkeypatch):
     assert max(stored) <= 20 * len(rows)
 
 
+def test_pairs_are_decided_once(spark, monkeypatch):
+    # What a bucket's first is far from is not met again, and of pairs of a bucket only those with an order and two roots cost edit distances.
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("klmnopqrst"), 9))
+    rows, later, met = [], [], lines._met
+    for i in range(20):  # two lines each that share windows and little else
+        same = [word() for _ in range(8)]
+        rows += [(2 * i + j, " ".join([*same, *[word() for _ in range(30)]])) for j in range(2)]
+
+    def held(members, texts):
+        later.append(members.count())
+        return met(members, texts)
+
+    monkeypatch.setattr(lines, "_met", held)
+    got = {r["doc_id"]: r["first_doc"] for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(40)} and later == [0]
+    monkeypatch.setattr(lines, "cut", lambda df: df)
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "key long, id long, root long")
+    texts = lines._coded(spark.createDataFrame([(1, rows[0][1]), (2, rows[1][1])], "id long, words string"))
+    plan = met(members, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("id_a#") and max(plan.index(x) for x in ("(id_a#", "NOT (root_a#", "array_intersect(")) < plan.index("levenshtein(")
+
+
+def test_near_is_the_edit_limit(spark):
+    # Lines with words exchanged, letters changed and parts moved, short and long, within the limit, about it and far from it.
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9))))
+    pairs = []
+    for i in range(120):
+        a = [word() for _ in range(int(rng.choice([4, 30, 70, 110])))]
+        b = list(a)
+        for at in rng.choice(len(a), int(len(a) * rng.uniform(0, 0.5)), replace=False).tolist() if i % 4 else []:
+            b[at] = word()
+        if i % 3 == 0:
+            at = int(rng.integers(0, len(b)))
+            b = b[at:] + b[:at] if i % 2 else b[at // 4 :]
+        text = list(" ".join(b))
+        for at in rng.choice(len(text), int(len(text) * rng.uniform(0, 0.2)), replace=False).tolist() if i % 4 == 0 else []:
+            text[at] = rng.choice(list("abxyz"))
+        pairs.append((" ".join(a), " ".join("".join(text).split())))
+    pairs += [(b, a) for a, b in pairs]
+    coded = lines._coded(spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "id long, words string"))
+    ids = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "a long, b long")
+    got = {r["a"] // 2 for r in lines._verified(ids, coded).collect()}
+    half = [edits(a, b) <= int(0.15 * max(len(a), len(b))) for a, b in pairs[:120]]
+    assert got == {i for i, near in enumerate(half * 2) if near} and 20 < sum(half) < 100
+
+
 def test_very_long_lines(spark):
     long = " ".join(f"word{i}" for i in range(6000))
     rows = [(1, long), (2, long.replace("word3000", "other").replace("word50 ", "x ")), (3, "a\n" + "b " * 9000)]

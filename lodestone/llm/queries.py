@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, threads, tokens
+from . import annulus, classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, threads, tokens, tries, warczip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,38 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back by ranges from the ZIP packages it was written to (see ``warczip``)."""
+    made = warczip.packages(_table(spark, sf_dir, "pages"))
+    rows = warczip.records(warczip.ranges(made), payloads=False)
+    number = lambda c: F.col(c).cast("long")
+    return rows.select(number("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after the rounds, its distance and its centroid's digest (see ``annulus``)."""
+    rows, centroids = annulus.clustered(_table(spark, sf_dir, "embeddings"))
+    return rows.select("*", annulus.named(centroids, F.col("cluster")).alias("centroid_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations (see ``tries``): conversation c has the first h = crc32(c) % 9 turns of
+    conversation c - c % 5, then its own from the next after its first h."""
+    turns = tries.ordered(_table(spark, sf_dir, "conversations"))
+    h = F.crc32(F.col("conv").cast("string")) % 9
+    sizes = turns.groupBy("conv").agg(F.max("pos").alias("n_own"))
+    wanted = sizes.select("conv", (F.col("conv") - F.col("conv") % 5).alias("base"), h.alias("h"), "n_own")
+    heads = turns.where("pos <= 8").withColumnRenamed("conv", "base")
+    begun = wanted.join(heads, "base").where("pos <= h").select("conv", F.col("pos").alias("depth"), "t1", "t2", "n_bytes")
+    lengths = sizes.select(F.col("conv").alias("base"), F.col("n_own").alias("n_base"))
+    shift = F.col("h") - F.least("h", F.coalesce("n_base", F.lit(0)))
+    moved = wanted.join(lengths, "base", "left").withColumn("shift", shift).where("shift > 0 and n_own > h")
+    moved = moved.select("conv", "shift", F.explode(F.sequence(F.lit(0).cast("long"), tries.block(F.col("n_own")))).alias("block"))
+    own = turns.where(F.col("pos") > h).withColumn("block", tries.block(F.col("pos"))).join(moved, ["conv", "block"], "left")
+    own = own.select("conv", (F.col("pos") - F.coalesce("shift", F.lit(0))).alias("depth"), "t1", "t2", "n_bytes")
+    return tries.nodes(begun.unionByName(own), sizes)
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
@@ -98,5 +130,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
+    "op12_centroids": op12_centroids,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -43,6 +43,24 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that tasks write by themselves; they stay until ``cleared`` or the end of the driver's Python."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, shares: int = 2000) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row a key and in ``weight`` at least the number of ``rows`` of that key.
+
+    Keys with more than one in ``shares`` of ``total``, the sum of all weights, are fewer than ``shares`` and are broadcast; the rows of the
+    others are shuffled, where no key is heavy any more.
+    """
+    crowded = F.broadcast(table.where(F.col(weight) > total / shares).drop(weight))
+    rest = rows.join(crowded.select(*on), on, "left_anti").join(table.drop(weight), on, "left")
+    return rows.join(crowded, on).unionByName(rest)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a written table.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annulus, classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, threads, tokens, tries, warczip
+from . import annulus, classifier, decontaminate, licenses, lines, lm, mixing, quality, simhash, sql, threads, tokens, tries, warczip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,4 +134,4 @@ QUERIES = {
     "op12_centroids": op12_centroids,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_warc": sql.WARC, "op12_centroids": sql.CLUSTERS, "op13_prefix_trie": sql.TRIE}

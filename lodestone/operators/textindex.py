@@ -1,19 +1,25 @@
 """Inverted indexes and BM25.
 
-An index is a table of postings, one row for each token of each text, and the texts' sizes. A phrase matches where all its tokens stand
-one after another: postings of its tokens, shifted by their places in the phrase, meet at one start. Many queries run in
-one plan; every table of matches is keyed by query. A stored index keeps its postings and vocabulary sorted by term, so that the tokens
-of a few queries, pushed to the scan, leave most row groups unread.
+An index is a table of postings: a row for each term of each text, with the text's size, the term's count and its places. A phrase matches where
+all its tokens stand one after another, so the places of its tokens, shifted by their own places in the phrase, have a start in common; of a
+phrase's trigrams every third and the last are enough, as they cover its characters. Many queries run in one plan; every table of matches is keyed
+by query. Scores need nothing but postings and two numbers. A stored index is sorted by term, so that the tokens of a few
+queries, pushed to the scan, leave most row groups unread.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKENIZERS
+from ..functions.text import TOKENIZERS, lowered, unicode_tokens
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -21,31 +27,52 @@ LEAST_IDF = 1e-6
 SMALL_ROWS = 50_000
 #: Distinct tokens that become a filter on the scan of the postings.
 PUSHED = 500
+#: Tokens of texts that are grouped at a time when postings are made.
+_CHUNK_TOKENS = 1 << 20
+POSTINGS = "term string, doc_id long, size int, n int, places array<int>"
+_ARROW = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("places", pa.list_(pa.int32()))])
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(term, doc_id, pos)``, ``sizes(doc_id, size)`` of every text, their number and all their tokens."""
+    """``postings`` (``POSTINGS``) of every text, and ``texts(doc_id, body)`` or what was ``counted`` in them: their number and all their tokens."""
 
     kind: str
     postings: DataFrame
-    sizes: DataFrame
-    n: int
-    total: int
+    texts: DataFrame | None = None
     terms: DataFrame | None = None
+    counted: tuple[int, int] | None = None
+
+    @cached_property
+    def _stats(self) -> tuple[int, int]:
+        if self.counted is not None:
+            return self.counted
+        row = self.texts.agg(F.count(F.lit(1)).alias("n"), F.sum(_size(self.kind, F.coalesce("body", F.lit("")))).alias("t")).first()
+        return row["n"], row["t"] or 0
+
+    @property
+    def n(self) -> int:
+        return self._stats[0]
+
+    @property
+    def total(self) -> int:
+        return self._stats[1]
 
     def vocabulary(self) -> DataFrame:
         """``term, doc, cnt``: texts that hold a term and its occurrences."""
         if self.terms is not None:
             return self.terms
-        return self.postings.groupBy("term").agg(F.countDistinct("doc_id").alias("doc"), F.count(F.lit(1)).alias("cnt"))
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("n").alias("cnt"))
 
     def save(self, folder: str) -> None:
-        """Write the index; postings sorted by term over range partitions, so that a query reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
-        stored = self.postings.sparkSession.read.parquet(f"{folder}/postings")
-        TextIndex(self.kind, stored, self.sizes, self.n, self.total).vocabulary().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        """Write the index; postings are sorted over ranges of (term, text), so a query reads few row groups and a common term fills many files."""
+        spark = self.postings.sparkSession
+        write_sorted(self.postings, f"{folder}/postings")
+        stored = spark.read.parquet(f"{folder}/postings")
+        n = self.counted[0] if self.counted else self.texts.count()
+        total = stored.agg(F.sum("n")).first()[0] or 0
+        TextIndex(self.kind, stored).vocabulary().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
 
     def stored(self, folder: str) -> TextIndex:
         """The same index, written under ``folder`` and read from there."""
@@ -53,9 +80,14 @@ class TextIndex:
         return load(self.postings.sparkSession, folder, self.kind)
 
 
-def _of(kind: str, postings: DataFrame, sizes: DataFrame, terms: DataFrame | None = None) -> TextIndex:
-    row = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).first()
-    return TextIndex(kind, postings, sizes, row["n"], row["t"] or 0, terms)
+def write_sorted(postings: DataFrame, path: str) -> None:
+    rows = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def _size(kind: str, body: Column) -> Column:
+    """Tokens of a text."""
+    return F.size(unicode_tokens(body)) if kind == "unicode" else F.greatest(F.length(lowered(body)) - 2, F.lit(0))
 
 
 def small(rows: DataFrame) -> tuple[DataFrame, list | None]:
@@ -66,37 +98,118 @@ def small(rows: DataFrame) -> tuple[DataFrame, list | None]:
     return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)), held
 
 
+def _grouped(ids: pa.Array, lengths: np.ndarray, codes: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    """Postings of a few texts from all their tokens' codes, text by text."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = doc * max(1, len(names)) + codes
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    first = np.nonzero(np.diff(key, prepend=-1))[0]
+    counts = np.diff(first, append=len(key))
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    columns = [
+        names.take(pa.array(key[first] % max(1, len(names)))), ids.take(pa.array(doc[order][first])), pa.array(lengths[doc[order][first]], pa.int32()),
+        pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=_ARROW)
+
+
+def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with some ``_CHUNK_TOKENS`` each, at least one."""
+    start, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > _CHUNK_TOKENS:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of ``doc_id, tokens``."""
+    for batch in batches:
+        tokens = batch.column(1)
+        for a, b in _pieces(pc.list_value_length(tokens).to_numpy()):
+            part = tokens.slice(a, b - a)
+            kinds = part.flatten().dictionary_encode()
+            yield _grouped(batch.column(0).slice(a, b - a), pc.list_value_length(part).to_numpy().astype(np.int64), kinds.indices.to_numpy().astype(np.int64), kinds.dictionary)
+
+
+def _threes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the trigrams of ``doc_id, text``."""
+    for batch in batches:
+        texts = batch.column(1)
+        for a, b in _pieces(pc.utf8_length(texts).to_numpy()):
+            part = texts.slice(a, b - a)
+            lengths = pc.utf8_length(part).to_numpy().astype(np.int64)
+            chars = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            n = np.maximum(lengths - 2, 0)
+            starts = np.repeat(np.cumsum(lengths) - lengths, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found, codes = np.unique(chars[starts] << 42 | chars[starts + 1] << 21 | chars[starts + 2] if len(starts) else starts, return_inverse=True)
+            letters = np.column_stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF]).astype("<u4")
+            whole = letters.tobytes().decode("utf-32-le", "surrogatepass")
+            yield _grouped(batch.column(0).slice(a, b - a), n, codes.astype(np.int64), pa.array([whole[i : i + 3] for i in range(0, len(whole), 3)], pa.string()))
+
+
+def postings(texts: DataFrame, kind: str) -> DataFrame:
+    """``POSTINGS`` of ``texts(doc_id, body)``: at most a row for each distinct term of a text."""
+    body = F.coalesce("body", F.lit(""))
+    made, each = (unicode_tokens(body), _words) if kind == "unicode" else (lowered(body), _threes)
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made")).mapInArrow(each, POSTINGS)
+
+
 def build(texts: DataFrame, kind: str) -> TextIndex:
     """The index of ``texts(doc_id, body)``; a null body counts as an empty one."""
-    tokens = TOKENIZERS[kind](F.coalesce("body", F.lit("")))
-    rows = texts.select("doc_id", tokens.alias("tokens"))
-    postings = rows.select("doc_id", F.posexplode("tokens").alias("pos", "term")).select("term", "doc_id", "pos")
-    return _of(kind, postings, rows.select("doc_id", F.size("tokens").cast("long").alias("size")))
+    return TextIndex(kind, postings(texts, kind), texts)
 
 
 def load(spark, folder: str, kind: str) -> TextIndex:
-    return _of(kind, *(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "sizes", "terms")))
+    row = spark.read.parquet(f"{folder}/stats").first()
+    return TextIndex(kind, spark.read.parquet(f"{folder}/postings"), None, spark.read.parquet(f"{folder}/terms"), (row["n"], row["total"]))
 
 
 def phrases(terms: DataFrame, kind: str) -> DataFrame:
-    """``key, phrase, tokens, place, token`` of each term ``key, term``: what it is in an index of this kind."""
+    """``key, phrase, tokens, place, token`` of each term ``key, term``: what is looked up for it in an index of this kind."""
     rows = terms.select("key", F.col("term").alias("phrase"), TOKENIZERS[kind](F.col("term")).alias("t"))
-    return rows.select("key", "phrase", F.size("t").alias("tokens"), F.posexplode("t").alias("place", "token"))
+    every = F.transform("t", lambda t, i: F.struct(i.alias("place"), t.alias("token")))
+    if kind == "trigram":
+        every = F.filter(every, lambda x: (x["place"] % 3 == 0) | (x["place"] == F.size("t") - 1))
+    rows = rows.select("key", "phrase", every.alias("e"))
+    return rows.select("key", "phrase", F.size("e").alias("tokens"), F.explode("e").alias("x")).select("key", "phrase", "tokens", "x.place", "x.token")
 
 
-def matches(index: TextIndex, terms: DataFrame) -> DataFrame:
-    """``key, phrase, doc_id, f``: how often each text holds each term of ``terms(key, term)`` as a phrase."""
-    sought, held = small(phrases(terms, index.kind))
-    postings = index.postings
+def sought(index: TextIndex, phrases: DataFrame) -> DataFrame:
+    """Postings of ``phrases``' tokens beside them; a few tokens become a filter on the scan."""
+    wanted, held = small(phrases)
+    rows = index.postings
     tokens = None if held is None else {row["token"] for row in held}
     if tokens is not None and len(tokens) <= PUSHED:
-        postings = postings.where(F.col("term").isin(sorted(tokens)))
-    met = postings.join(sought, F.col("term") == F.col("token"))
-    starts = met.groupBy("key", "phrase", "tokens", "doc_id", (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("hits"))
-    return starts.where(F.col("hits") == F.col("tokens")).groupBy("key", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
+        rows = rows.where(F.col("term").isin(sorted(tokens)))
+    return rows.join(wanted, F.col("term") == F.col("token"))
+
 
+def starts(found: Column) -> Column:
+    """The starts that tokens ``array<struct<place, places>>`` of a phrase have in common."""
+    shifted = lambda x: F.transform(x["places"], lambda p: p - x["place"])
+    rest = F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+    return F.aggregate(rest, shifted(F.element_at(found, 1)), lambda a, x: F.array_intersect(a, shifted(x)))
 
-def _score(f: Column, size: Column, n: Column, index: TextIndex) -> Column:
+
+def matches(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """``key, phrase, doc_id, f, size``: how often each text holds each term of ``terms(key, term)`` as a phrase, and its tokens."""
+    met = sought(index, phrases(terms, index.kind))
+    alone = met.where("tokens = 1").select("key", "phrase", "doc_id", F.col("n").cast("long").alias("f"), "size")
+    several = met.where("tokens > 1").groupBy("key", "phrase", "tokens", "doc_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.first("size").alias("size"), F.collect_list(F.struct("place", "places")).alias("found")
+    )
+    several = several.where("hits = tokens").select("key", "phrase", "doc_id", F.size(starts(F.col("found"))).cast("long").alias("f"), "size")
+    return alone.unionByName(several.where("f > 0"))
+
+
+def score(f: Column, size: Column, n: Column, index: TextIndex) -> Column:
+    """A phrase's part of a text's BM25 (negative), with ``n`` texts that hold it."""
     mean = index.total / index.n if index.n and index.total else 1.0
     raw = F.log((F.lit(float(index.n)) - n + 0.5) / (n + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
@@ -112,8 +225,8 @@ def bm25(index: TextIndex, terms: DataFrame, mode: str) -> DataFrame:
     terms, _ = small(terms)
     found = matches(index, terms)
     counts = found.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    scored = found.join(counts, ["key", "phrase"]).join(index.sizes, "doc_id")
-    scored = scored.select("key", "doc_id", _score(F.col("f"), F.col("size"), F.col("n"), index).alias("s"))
+    scored = found.join(counts, ["key", "phrase"])
+    scored = scored.select("key", "doc_id", score(F.col("f"), F.col("size"), F.col("n"), index).alias("s"))
     totals = scored.groupBy("key", "doc_id").agg(F.sum("s").alias("bm25"), F.count(F.lit(1)).alias("met"))
     if mode == "or":
         return totals.drop("met")

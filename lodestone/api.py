@@ -22,9 +22,9 @@ class Engine:
     def pages(self) -> DataFrame:
         """Pages with degrees and ranks of both namespaces, and authority."""
         pages, links = self.tables["internal_pages"], self.tables["internal_links"]
-        ranks = [graph.page_rank(pages, links, ns, self.config) for ns in (ARTICLE, CATEGORY)]
+        ranks = graph.page_ranks(pages, links, [ARTICLE, CATEGORY], self.config)
         counts = [graph.degrees(pages, links, ns) for ns in (ARTICLE, CATEGORY)]
-        ranked = graph.with_ranks(pages, ranks[0].unionByName(ranks[1])).drop("in_degree", "out_degree", "authority")
+        ranked = graph.with_ranks(pages, ranks).drop("in_degree", "out_degree", "authority")
         ranked = ranked.join(counts[0].unionByName(counts[1]), "id", "left")
         by_domain = authority.domain_authority(ranked, self.tables["external_links"], self.tables["external_pages"], self.tables["external_domains"])
         by_page = authority.page_authority(self.tables["external_links"], self.tables["external_pages"], by_domain)

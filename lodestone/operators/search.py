@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import uuid
 from dataclasses import dataclass, replace
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 from ..config import ARTICLE, DEFAULT, EngineConfig
 from ..functions.text import query_terms
 from ..storage import shared_dir
-from . import textindex
+from . import matchquery, textindex
 from .textindex import TextIndex
 
-#: Characters and words that make a raw query more than a list of words.
-_SYNTAX = re.compile(r"[^\w\s\u0080-\U0010ffff]|(?:^|\s)(?:AND|OR|NOT|NEAR)(?:\s|$)")
+#: Characters and words that make a raw query more than a list of words (see ``matchquery``).
+_SYNTAX = r"[^\w\s\x{80}-\x{10FFFF}]|(?:^|\s)(?:AND|OR|NOT)(?:\s|$)"
 
 
 @dataclass(frozen=True)
@@ -77,10 +76,15 @@ def _top(found: DataFrame, weight: float, k1: int, stream: int) -> DataFrame:
     return rows.withColumn("__r", place).where(F.col("__r") <= k1).drop("__r").withColumn("stream", F.lit(stream))
 
 
-def check_raw(query: str) -> None:
-    """Refuse what is more than a list of words."""
-    if _SYNTAX.search(query):
-        raise ValueError(f"not a list of plain words: {query!r}")
+def _raw(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """``key, doc_id, bm25`` of the queries as they were typed: operators are read, words side by side must all be there.
+
+    Plain words may be asked in any number; queries with operators are a query set of ``textindex.SMALL_ROWS`` at most. One that is no query raises ``ValueError``.
+    """
+    marked = queries.where(F.col("query").rlike(_SYNTAX))
+    terms = queries.where(~F.coalesce(F.col("query").rlike(_SYNTAX), F.lit(False))).select("key", F.explode(query_terms(F.col("query"))).alias("term"))
+    found = textindex.bm25(index, terms, "bare")
+    return found if marked.isEmpty() else found.unionByName(matchquery.answered(index, marked))
 
 
 def candidates(index: SearchIndex, queries: DataFrame, interactive: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -89,6 +93,7 @@ def candidates(index: SearchIndex, queries: DataFrame, interactive: bool = True,
     titles = kept_terms(idfs(index.title_unicode, queries), config.idf_threshold).select("key", "term")
     by_title = lambda which, terms, mode: textindex.bm25(which, terms, mode).withColumnRenamed("doc_id", "id").join(pages, "id")
     by_text = lambda which, terms, mode: textindex.bm25(which, terms, mode).withColumnRenamed("doc_id", "text_id").join(pages, "text_id")
+    typed = lambda which, on: _raw(which, queries).withColumnRenamed("doc_id", on).join(pages, on)
     columns = ["key", "stream", "id", "ns", "title", "text_id", "bm25", "rank1", "authority"]
     if interactive:
         streams = [
@@ -96,13 +101,12 @@ def candidates(index: SearchIndex, queries: DataFrame, interactive: bool = True,
             _top(by_title(index.title_trigram, titles, "and"), config.title_trigram, config.k1, 1),
         ]
     else:
-        raw = queries.select("key", F.explode(query_terms(F.col("query"))).alias("term"))
         texts = kept_terms(idfs(index.text_unicode, queries), config.idf_threshold).select("key", "term")
         streams = [
             _top(by_title(index.title_unicode, titles, "or"), config.title_unicode, config.k1, 0),
-            _top(by_title(index.title_trigram, raw, "bare"), config.title_trigram, config.k1, 1),
+            _top(typed(index.title_trigram, "id"), config.title_trigram, config.k1, 1),
             _top(by_text(index.text_unicode, texts, "and"), config.text_unicode, config.k1, 2),
-            _top(by_text(index.text_trigram, raw, "bare"), config.text_trigram, config.k1, 3),
+            _top(typed(index.text_trigram, "text_id"), config.text_trigram, config.k1, 3),
         ]
     out = streams[0].select(*columns)
     for stream in streams[1:]:
@@ -130,8 +134,6 @@ def search(index: SearchIndex, queries: DataFrame, interactive: bool = True, con
 
 
 def search_query(index: SearchIndex, query: str, interactive: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
-    """The pages for one query, in order."""
-    if not interactive:
-        check_raw(query)
+    """The pages for one query, in order. In batch mode it may have operators."""
     queries = index.pages.sparkSession.createDataFrame([("query", query)], "key string, query string")
     return search(index, queries, interactive, config).orderBy("position").drop("key", "position")

@@ -6,18 +6,21 @@ session and folder and kept in the shared folder; everything else is planned ane
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ARCHIVES, ARTICLE, CATEGORY, EngineConfig
 from ..functions import text as text_functions
 from ..functions.urls import with_domain
 from ..functions.wikitext import NAMESPACES, namespace_title
-from ..operators import authority, evaluate, explore, graph, load, search, textindex
-from ..sources import fixture
+from ..operators import authority, evaluate, explore, graph, load, matchquery, search, textindex
+from ..operators.segments import SegmentedIndex
+from ..sources import fixture, multistream
 from ..sources.fixture import oracle
+from ..storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,8 +84,9 @@ def _shown(c: str, name: str | None = None) -> str:
 # Ranks in SQL: rounds unrolled, of which the first that moved no rank by the tolerance is taken.
 
 
-def rank_ctes(ns: int, teleport: str = "all", tag: str = "") -> dict[str, str]:
+def rank_ctes(ns: int, teleport: str = "all", tag: str = "", rule: str = "max") -> dict[str, str]:
     t = tag
+    move = "max(abs(a.r - b.r))" if rule == "max" else "sum(abs(a.r - b.r)) / count(*)"
     total = "(SELECT count(*) FROM internal_pages)" if teleport == "all" else f"(SELECT count(*) FROM nodes{t})"
     out = {
         f"nodes{t}": f"SELECT id FROM internal_pages WHERE ns = {ns}",
@@ -96,7 +100,7 @@ def rank_ctes(ns: int, teleport: str = "all", tag: str = "") -> dict[str, str]:
             f"SELECT n.id, coalesce(s.c, 0.0) AS c FROM nodes{t} n LEFT JOIN (SELECT e.target_id, sum(p.r * e.w) AS c FROM edges{t} e JOIN r{t}{k - 1} p ON e.source_id = p.id GROUP BY e.target_id) s ON n.id = s.target_id"
         )
         out[f"r{t}{k}"] = f"SELECT id, 0.15::DOUBLE / {total} + 0.85::DOUBLE * (c + (SELECT (1.0::DOUBLE - sum(c)) / count(*) FROM c{t}{k})) AS r FROM c{t}{k}"
-    moves = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.r - b.r)) AS d FROM r{t}{k} a JOIN r{t}{k - 1} b ON a.id = b.id" for k in range(1, ROUNDS + 1))
+    moves = " UNION ALL ".join(f"SELECT {k} AS k, {move} AS d FROM r{t}{k} a JOIN r{t}{k - 1} b ON a.id = b.id" for k in range(1, ROUNDS + 1))
     out[f"moves{t}"] = moves
     out[f"last{t}"] = f"SELECT min(k) AS k FROM moves{t} WHERE d < 1e-6"
     out[f"ranks{t}"] = " UNION ALL ".join(f"SELECT id, r AS rank1 FROM r{t}{k} WHERE {k} = (SELECT k FROM last{t})" for k in range(1, ROUNDS + 1))
@@ -194,6 +198,24 @@ _rank_query("pagerank_ns14", CATEGORY, "all")
 _rank_query("pagerank_teleport_ns", ARTICLE, "ns")
 
 
+@query("pagerank_l1", oracle(f"SELECT id, {_shown('rank1')} FROM ranks", rank_ctes(ARTICLE, "ns", rule="l1")))
+def pagerank_l1(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.page_rank(m["internal_pages"], m["internal_links"], ARTICLE, teleport="ns", rule="l1").select("id", shown("rank1"))
+
+
+@query(
+    "pagerank_namespaces",
+    oracle(
+        f"SELECT 0 AS ns, id, {_shown('rank1')}, (SELECT k FROM last) AS iterations FROM ranks UNION ALL SELECT 14, id, {_shown('rank1')}, (SELECT k FROM last_c) FROM ranks_c",
+        {**rank_ctes(ARTICLE), **rank_ctes(CATEGORY, tag="_c")},
+    ),
+)
+def pagerank_namespaces(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    return graph.page_ranks(m["internal_pages"], m["internal_links"]).select("ns", "id", shown("rank1"), "iterations")
+
+
 @query("pagerank_sum", oracle("SELECT round(sum(rank1), 9) AS rank1, round(sum(rank1), 9) AS rank2 FROM ranks", _RANKED))
 def pagerank_sum(spark, sf_dir):
     return graph.rank_sums(ranks(spark, sf_dir)).select(F.round("rank1", 9).alias("rank1"), F.round("rank2", 9).alias("rank2"))
@@ -241,6 +263,41 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_path(m["internal_pages"], m["internal_links"], *_ends(m)).select("hops")
 
 
+#: Articles whose titles or paths are asked: those of the stated query set, against all pages.
+_ASKED = "ns = 0 AND text_id IS NOT NULL AND id % 50 = 0"
+
+
+#: Steps that the paths of the test tables stay under.
+_STEPS = 14
+
+
+def _paths_sql() -> str:
+    """For each asked article the path to the next asked one (without one -1 and nothing): distances both ways by rounds, then the least page a step nearer, a step at a time."""
+    parts = {
+        "asked": f"SELECT id AS source_id, lead(id) OVER (ORDER BY id) AS target_id FROM internal_pages WHERE {_ASKED}",
+        "pairs": "SELECT * FROM asked WHERE target_id IS NOT NULL",
+        "b0": "SELECT DISTINCT target_id AS t, target_id AS id, 0 AS d FROM pairs",
+    }
+    for k in range(1, _STEPS + 1):
+        parts[f"b{k}"] = f"SELECT * FROM b{k - 1} UNION ALL SELECT DISTINCT b.t, l.source_id, {k} FROM b{k - 1} b JOIN internal_links l ON l.target_id = b.id WHERE b.d = {k - 1} AND NOT EXISTS (SELECT 1 FROM b{k - 1} x WHERE x.t = b.t AND x.id = l.source_id)"
+    far = f"b{_STEPS}"
+    parts["p0"] = f"SELECT p.source_id, p.target_id, b.d AS hops, p.source_id AS tip, CAST(p.source_id AS VARCHAR) AS path FROM pairs p LEFT JOIN {far} b ON b.t = p.target_id AND b.id = p.source_id"
+    for k in range(1, _STEPS + 1):
+        near = f"(SELECT min(l.target_id) FROM internal_links l JOIN {far} b ON b.t = p.target_id AND b.id = l.target_id WHERE l.source_id = p.tip AND b.d = p.hops - {k})"
+        parts[f"q{k}"] = f"SELECT p.*, CASE WHEN p.hops >= {k} THEN {near} END AS step FROM p{k - 1} p"
+        parts[f"p{k}"] = f"SELECT source_id, target_id, hops, coalesce(step, tip) AS tip, path || coalesce('>' || step, '') AS path FROM q{k}"
+    return oracle(f"SELECT source_id, target_id, coalesce(hops, -1) AS hops, CASE WHEN hops IS NULL THEN '' ELSE path END AS path FROM p{_STEPS}", parts)
+
+
+@query("shortest_paths", _paths_sql())
+def shortest_paths(spark, sf_dir):
+    m = fixture.model(spark, sf_dir)
+    asked = m["internal_pages"].where(_ASKED).select(F.col("id").alias("source_id"), F.lead("id").over(Window.orderBy("id")).alias("target_id"))
+    rows = graph.shortest_paths(m["internal_links"], asked.where("target_id IS NOT NULL"))
+    path = F.array_join(F.col("path").cast("array<string>"), ">")
+    return rows.select("source_id", "target_id", F.coalesce("hops", F.lit(-1)).alias("hops"), F.coalesce(path, F.lit("")).alias("path"))
+
+
 # Authority
 
 
@@ -500,27 +557,103 @@ def search_batch(spark, sf_dir):
     return _found(spark, sf_dir, False)
 
 
-def _fusion_values() -> str:
-    rows = [
-        ("Isaac Newton", -20.69, 1.37e-5), ("Newton", -25.35, 2.43e-8), ("Knewton", -24.64, 5.82e-8), ("Enewton", -24.64, 4.56e-8), ("Newton-X", -23.96, 2.87e-8),
-    ]
-    return "(VALUES " + ", ".join(f"('{t}', CAST({b} AS DOUBLE), CAST({r} AS DOUBLE))" for t, b, r in rows) + ") AS v(title, bm25, rank1)"
+#: Queries with operators over all texts, and in SQL their phrases (number, words, whether a beginning), what must hold of those found, and which count.
+OPERATORS = {
+    "o1": ("thanea AND attion", [("thanea", False), ("attion", False)], "[1, 2] <@ have", "[1, 2]"),
+    "o2": ("thanea OR eriner", [("thanea", False), ("eriner", False)], "len(have) > 0", "[1, 2]"),
+    "o3": ("the NOT thanea", [("the", False), ("thanea", False)], "1 IN have AND 2 NOT IN have", "[1]"),
+    "o4": ("thane* NOT (the OR of)", [("thane", True), ("the", False), ("of", False)], "1 IN have AND 2 NOT IN have AND 3 NOT IN have", "[1]"),
+    "o5": ('"of the" attion*', [("of the", False), ("attion", True)], "[1, 2] <@ have", "[1, 2]"),
+    "o6": ("(thanea OR anea) AND (eriner OR the) NOT qqzxqqzx", [("thanea", False), ("anea", False), ("eriner", False), ("the", False)], "(1 IN have OR 2 IN have) AND (3 IN have OR 4 IN have)", "[1, 2, 3, 4]"),
+}
 
 
-@query(
-    "fusion_golden",
-    f"SELECT title, round(0.8::DOUBLE * -(bm25 / min(bm25) OVER ()) + (1 - 0.8::DOUBLE) * -(rank1 / max(rank1) OVER ()), 6) AS score FROM {_fusion_values()}",
+def _operators_sql() -> str:
+    leaves = ", ".join(f"('{k}', {i}, ['{chr(39).join(words.split())}'], {str(prefix).lower()})".replace(chr(39).join(words.split()), "', '".join(words.split())) for k, (_, phrases, _, _) in OPERATORS.items() for i, (words, prefix) in enumerate(phrases, 1))
+    word = lambda i, x: f"(CASE WHEN l.prefix THEN starts_with({x}, l.words[{i}]) ELSE {x} = l.words[{i}] END)"
+    holds = "CASE s.key " + " ".join(f"WHEN '{k}' THEN {rule}" for k, (_, _, rule, _) in OPERATORS.items()) + " END"
+    counted = "CASE s.key " + " ".join(f"WHEN '{k}' THEN {part}" for k, (_, _, _, part) in OPERATORS.items()) + " END"
+    return oracle(
+        f"SELECT key, doc_id, round(sum(s) FILTER (WHERE list_contains({counted.replace('s.key', 'key')}, i)), 6) + 0.0 AS bm25 FROM "
+        f"(SELECT s.*, {holds} AS fits FROM (SELECT *, list(i) OVER (PARTITION BY key, doc_id) AS have FROM scored) s) s WHERE fits GROUP BY key, doc_id",
+        {
+            "text_unicode": _INDEXES["text_unicode"],
+            "leaves": f"SELECT * FROM (VALUES {leaves}) v(key, i, words, prefix)",
+            "stats": "SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS mean FROM text_unicode",
+            "counts": "SELECT l.key, l.i, d.doc_id, CAST(len(d.toks) AS DOUBLE) AS size, CAST(CASE WHEN len(l.words) = 1 THEN len(list_filter(d.toks, lambda x: "
+            + word(1, "x")
+            + ")) ELSE len(list_filter(range(1, len(d.toks)), lambda p: d.toks[p] = l.words[1] AND d.toks[p + 1] = l.words[2])) END AS DOUBLE) AS f FROM text_unicode d CROSS JOIN leaves l",
+            "found": "SELECT * FROM counts WHERE f > 0",
+            "holders": "SELECT key, i, CAST(count(*) AS DOUBLE) AS n FROM found GROUP BY key, i",
+            "scored": "SELECT f.key, f.i, f.doc_id, -(CASE WHEN ln((s.n - h.n + 0.5) / (h.n + 0.5)) > 0 THEN ln((s.n - h.n + 0.5) / (h.n + 0.5)) ELSE 1e-6 END) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * f.size / s.mean)) AS s "
+            "FROM found f JOIN holders h ON f.key = h.key AND f.i = h.i CROSS JOIN stats s",
+        },
+    )
+
+
+@query("search_operators", _operators_sql())
+def search_operators(spark, sf_dir):
+    asked = _queries(spark, [(k, x[0]) for k, x in OPERATORS.items()])
+    return matchquery.answered(search_index(spark, sf_dir).text_unicode, asked).select("key", "doc_id", (F.round("bm25", 6) + 0.0).alias("bm25"))
+
+
+def _changed(m: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Titles as they first are, and two batches of changes: categories renamed, then redirects taken out."""
+    first = m["internal_pages"].select(F.col("id").alias("doc_id"), F.col("title").alias("body"), F.lit(1).cast("long").alias("version"))
+    renamed = m["internal_pages"].where("ns = 14").select(F.col("id").alias("doc_id"), F.concat(F.lit("thanea "), "title").alias("body"), F.lit(2).cast("long").alias("version"))
+    gone = m["redirects"].select(F.col("source_id").alias("doc_id"), F.lit(None).cast("string").alias("body"), F.lit(3).cast("long").alias("version"))
+    return first, renamed, gone
+
+
+_CHANGED = "SELECT p.id AS doc_id, {} AS toks FROM internal_pages p LEFT JOIN redirects r ON p.id = r.source_id WHERE r.source_id IS NULL".format(
+    _TOKENS.format("CASE WHEN p.ns = 14 THEN 'thanea ' || p.title ELSE p.title END")
 )
-def fusion_golden(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_fusion_values()}")
-    low = rows.agg(F.min("bm25").alias("least"), F.max("rank1").alias("most"))
-    return rows.crossJoin(low).select("title", F.round(search.fused(F.col("bm25"), F.col("least"), F.col("rank1"), F.col("most")), 6).alias("score"))
+
+
+@query("bm25_after_updates", oracle("SELECT key, doc_id, round(bm25, 6) + 0.0 AS bm25 FROM title_unicode_or", {"terms": _VALUES, **_bm25_ctes("title_unicode"), "title_unicode": _CHANGED}))
+def bm25_after_updates(spark, sf_dir):
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}")
+    for number, changes in enumerate(_changed(fixture.model(spark, sf_dir))):
+        index.apply(changes, number)
+    index.compact()
+    return textindex.bm25(index.read(), _terms(spark), "or").select("key", "doc_id", (F.round("bm25", 6) + 0.0).alias("bm25"))
+
+
+#: Characters that XML cannot hold.
+_NO_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+def _as_dump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The pages with their texts and redirects written as a dump, which is given by its index and folder."""
+    m = fixture.model(spark, sf_dir)
+    turned = m["redirects"].join(m["internal_pages"].select(F.col("id").alias("target_id"), F.col("title").alias("redirect")), "target_id").select(F.col("source_id").alias("id"), "redirect")
+    texts = m["internal_texts"].select(F.col("id").alias("text_id"), "text")
+    rows = m["internal_pages"].join(turned, "id", "left").join(texts, "text_id", "left").select("id", "ns", "title", "redirect", "text")
+    folder = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    index = multistream.write(rows.repartition("id").sortWithinPartitions("id"), folder)
+    index.write.parquet(f"{folder}-index")
+    return spark.read.parquet(f"{folder}-index"), folder
+
+
+_DUMP_SQL = "SELECT p.id, CAST(p.ns AS INT) AS ns, p.title, t.title AS redirect, md5(regexp_replace(coalesce(x.text, ''), '{}', chr(65533), 'g')) AS text_md5 FROM internal_pages p " \
+    "LEFT JOIN redirects r ON p.id = r.source_id LEFT JOIN internal_pages t ON r.target_id = t.id LEFT JOIN internal_texts x ON p.text_id = x.id".format(_NO_XML)
+
+
+@query("dump_pages", oracle(_DUMP_SQL))
+def dump_pages(spark, sf_dir):
+    _, folder = _as_dump(spark, sf_dir)
+    return multistream.pages(spark, folder, partitions=16).select("id", "ns", "title", "redirect", F.md5("text").alias("text_md5"))
+
+
+@query("dump_lookup", oracle(f"{_DUMP_SQL} WHERE p.title IN (SELECT title FROM internal_pages WHERE {_ASKED})"))
+def dump_lookup(spark, sf_dir):
+    index, _ = _as_dump(spark, sf_dir)
+    wanted = fixture.model(spark, sf_dir)["internal_pages"].where(_ASKED).select("title")
+    return multistream.looked_up(index, wanted).select("id", "ns", "title", "redirect", F.md5("text").alias("text_md5"))
 
 
 # Evaluation
 
-#: Articles whose titles are asked: those of the stated query set, against all pages.
-_ASKED = "ns = 0 AND text_id IS NOT NULL AND id % 50 = 0"
 GRID = evaluate.grid(base=EngineConfig())
 
 

@@ -1,29 +1,23 @@
-"""Incremental upkeep of a stored text index from a stream of changed texts."""
+"""Upkeep of a stored text index from a stream of changed texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import TOKENIZERS
+from ..operators.segments import SegmentedIndex
 
 
 def follow(changes: DataFrame, folder: str, checkpoint: str, kind: str = "unicode") -> StreamingQuery:
-    """Keep ``folder/log`` an append-only log of ``doc_id, version, deleted, tokens`` from a stream ``doc_id, body, version``
-    (a null body deletes). A batch that is run again writes the same folder again, so none counts twice."""
+    """Keep the segmented index in ``folder`` up to date with a stream ``doc_id, body, version`` (a null body deletes).
+
+    Each batch is a segment, and segments are merged as they gather; a batch that runs again changes nothing. Read the index at any time
+    with ``SegmentedIndex(spark, folder, kind).read()``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        tokens = TOKENIZERS[kind](F.coalesce("body", F.lit("")))
-        rows = batch.select("doc_id", "version", F.col("body").isNull().alias("deleted"), tokens.alias("tokens"))
-        rows.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+        index = SegmentedIndex(batch.sparkSession, folder, kind)
+        index.apply(batch, number)
+        index.compact()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``postings(term, doc_id, pos)`` and ``sizes(doc_id, size)`` of each text's latest version that is not a deletion."""
-    latest = log.groupBy("doc_id").agg(F.max(F.struct("version", "deleted", "tokens")).alias("x"))
-    rows = latest.where("not x.deleted").select("doc_id", F.col("x.tokens").alias("tokens"))
-    postings = rows.select("doc_id", F.posexplode("tokens").alias("pos", "term")).select("term", "doc_id", "pos")
-    return postings, rows.select("doc_id", F.size("tokens").cast("long").alias("size"))

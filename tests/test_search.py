@@ -96,10 +96,12 @@ def test_search_returns_articles_with_a_text_once(spark):
     assert search.search_query(small_model(spark), "newton unknownword").count() == 0
 
 
-def test_batch_search_refuses_query_syntax(spark):
+def test_batch_search_reads_operators(spark):
     made = small_model(spark)
-    assert search.search_query(made, "uk newton", interactive=False).count() > 0
-    for query in ("o'brien", "a AND b", "enewton-x", 'say "x"', "x*"):
+    found = lambda q: {r["page_id"] for r in search.search_query(made, q, interactive=False).collect()}
+    assert found("uk newton") and found('say OR "newton"') >= {1, 3, 4}
+    assert 8 not in found("newton NOT news") and 3 not in found("isaac NOT news")
+    for query in ("o'brien", "a AND", "enewton-x", 'say "x', "(x"):
         with pytest.raises(ValueError):
             search.search_query(made, query, interactive=False)
 

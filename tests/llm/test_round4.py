@@ -271,3 +271,45 @@ def test_heavy_parents_are_broadcast_and_others_joined(spark):
     for shares in (1, 3, 1000):
         met = looked_up(rows, table, ["k"], "n", 200, shares)
         assert Counter((r["v"], r["got"]) for r in met.collect()) == Counter((r["v"], None if r["k"] == 3 else r["k"] * 10) for r in rows.collect())
+
+
+# Lines
+
+
+def test_words_of_equal_codes_are_not_equal_words(spark):
+    from lodestone.llm import lines
+
+    head = "ab cd ef gh ij kl mn op qr st uv wx "
+    docs = spark.createDataFrame([(1, head + "flyyibnmmzumdk"), (2, head + "tbwxoljbrpfijn"), (3, head + "tbwxoljbrpfijx")], "doc_id long, text string")
+    kept = {r["doc_id"]: (r["first_doc"], r["kept"]) for r in lines.groups(docs).collect()}
+    assert kept == {1: (1, True), 2: (2, True), 3: (2, False)}
+
+
+def test_a_changed_word_is_found_wherever_it_is(spark):
+    from lodestone.llm import lines
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=6))
+    rows = []
+    for n in range(12, 80, 2):
+        words = [word() for _ in range(n)]
+        changed = list(words)
+        changed[rng.randrange(n)] = word()
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
+    found = {r["doc_id"]: r["first_doc"] for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
+def test_counts_never_part_lines_within_the_limit(spark):
+    """The bits in which counts differ are at most twice the edits, also where counts pass sixteen."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import lines
+
+    rng = random.Random(3)
+    rows = [("a" * rng.randint(1, 60) + "".join(rng.choices("ab e", k=40)), "a" * rng.randint(1, 60) + "".join(rng.choices("abe ", k=40))) for _ in range(300)]
+    table = spark.createDataFrame(rows, "a string, b string")
+    side = lambda c: table.select("a", "b", F.col(c).alias("words")).select("a", "b", *[x.alias(f"{c}{i}") for i, x in enumerate(lines._counts())])
+    met = side("a").join(side("b"), ["a", "b"])
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(len(lines.COUNTED) // 8 + (len(lines.COUNTED) % 8 > 0))), F.lit(0))
+    assert met.where(differ + F.abs(F.length("a") - F.length("b")) > 2 * F.levenshtein("a", "b")).count() == 0

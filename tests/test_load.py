@@ -1,7 +1,10 @@
 import bz2
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.functions import urls, wikitext
 from lodestone.operators import authority, explore, load
 from lodestone.sources import dump
@@ -44,6 +47,20 @@ def test_wikitext():
     assert wikitext.external_links("[//a.b/c d] (http://x.y/z).") == ["//a.b/c", "http://x.y/z"]
 
 
+@pytest.mark.parametrize("text", ["{{" * 250_000 + "x" + "]]" * 250_000, "[[a|" * 200_000 + "b" + "]]" * 200_000, "[[" * 250_000 + "}}" * 250_000, "{{a|[[b" * 120_000, "[[a" * 150_000 + "]]" * 150_000])
+def test_nested_text_takes_time_by_its_length(text):
+    began = time.time()
+    wikitext.read(text, 0, "T")
+    assert time.time() - began < 20
+
+
+def test_reading_text():
+    assert wikitext.lead("[[a|b [[c|d]] e]] {{x|[[y]]}} {| t || {{u}} |} [[:File:z]] [[File:q|thumb|no]] {{open [[c]]") == "b d e   File:z  {{open c"
+    assert wikitext.lead("a | b |} c }} ]] [[x") == "a | b |} c }} ]] [[x"
+    assert wikitext.external_links("http://a.b/C_(d), (http://a.b/e) http://a.b/f).") == ["http://a.b/C_(d)", "http://a.b/e", "http://a.b/f"]
+    assert wikitext.read("x [[a]]\n== H ==\n[[b]] http://u.v/", 0, "T") == ("x a", ["a", "b"], ["http://u.v/"])
+
+
 def test_namespaces(spark):
     rows = spark.createDataFrame([(x,) for x in ("Category:A:b", ":Category:A", "category:A", "User talk:x", "plain", "No:such")], "l string")
     got = [tuple(r["x"]) for r in rows.select(wikitext.namespace_title(F.col("l")).alias("x")).collect()]
@@ -56,6 +73,63 @@ def test_domains(spark):
     assert got == [("example.co.uk", "co.uk"), ("example.com", "com"), ("127.0.0.1.", ""), ("localhost.", ""), (None, None), ("x.org", "org")]
 
 
+RULES = ["com", "jp", "ac.jp", "kyoto.jp", "ide.kyoto.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "us", "ak.us", "k12.ak.us"]
+#: Hosts and their registered domains by the published test of the algorithm (none: the host is a suffix).
+REGISTERED = {
+    "com": None, "example.com": "example.com", "b.example.com": "example.com", "a.b.example.com": "example.com", "jp": None, "test.jp": "test.jp", "www.test.jp": "test.jp",
+    "ac.jp": None, "test.ac.jp": "test.ac.jp", "www.test.ac.jp": "test.ac.jp", "kyoto.jp": None, "test.kyoto.jp": "test.kyoto.jp", "ide.kyoto.jp": None, "b.ide.kyoto.jp": "b.ide.kyoto.jp",
+    "a.b.ide.kyoto.jp": "b.ide.kyoto.jp", "c.kobe.jp": None, "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "www.city.kobe.jp": "city.kobe.jp",
+    "test.ck": None, "b.test.ck": "b.test.ck", "a.b.test.ck": "b.test.ck", "www.ck": "www.ck", "www.www.ck": "www.ck", "us": None, "test.us": "test.us", "ak.us": None, "test.ak.us": "test.ak.us",
+    "k12.ak.us": None, "test.k12.ak.us": "test.k12.ak.us", "www.test.k12.ak.us": "test.k12.ak.us",
+}
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_public_suffix_rules(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", broadcast)
+    (tmp_path / "list.dat").write_text("// a comment\n\n" + "\n".join(f"{r} // why" for r in RULES))
+    rules = urls.read_rules(spark, f"file://{tmp_path}/list.dat")
+    hosts = spark.createDataFrame([(h,) for h in REGISTERED] + [("127.0.0.1",), ("localhost",), (None,)], "host string")
+    got = {r["host"]: (r["name"], r["tld"]) for r in urls.split_hosts(hosts, rules).collect()}
+    assert {h: None if n.startswith(".") else n for h, (n, t) in got.items() if t} == REGISTERED
+    assert got["127.0.0.1"] == ("127.0.0.1.", "") and got["localhost"] == ("localhost.", "") and len(got) == len(REGISTERED) + 2
+    rows = spark.createDataFrame([("http://a.b.test.ck/x",), ("nothing",)], "url string")
+    assert [(r["name"], r["tld"]) for r in urls.with_rules(rows, rules).orderBy("url").collect()] == [("b.test.ck", "test.ck"), (None, None)]
+
+
+def test_the_least_page_of_an_id_and_of_a_title(spark):
+    rows = [(1, 0, "b", None, "x"), (1, 0, "a", None, "y"), (2, 0, "a", None, "z"), (3, 0, "c", "a", ""), (3, 0, "c", None, "w")]
+    table = spark.createDataFrame(rows, "id long, ns int, title string, redirect string, text string")
+    assert sorted(map(tuple, load.first_pages(table).collect())) == [(1, 0, "a", None, "y"), (3, 0, "c", None, "w")]
+
+
+def test_tables_loaded_again(spark, tmp_path):
+    made = load.tables(parsed(spark, tmp_path))
+    stored = storage.Tables(spark, f"file://{tmp_path}/tables")
+    rows = lambda: {n: sorted(map(str, stored.read(n).collect())) for n in stored.names()}
+    assert stored.names() == []
+    counts = stored.insert(made, load.KEYS)
+    once = rows()
+    assert counts["internal_pages"] == 5 and set(once) == set(made) and once["internal_links"]
+    assert set(stored.insert(made, load.KEYS).values()) == {0} and rows() == once
+    broken = made["internal_pages"].withColumn("title", F.expr("raise_error('no')"))
+    with pytest.raises(Exception, match="no"):
+        stored.insert({"internal_links": made["internal_links"], "internal_pages": broken}, load.KEYS)
+    with pytest.raises(Exception, match="no"):
+        stored.replace({"internal_texts": made["internal_texts"].limit(0), "internal_pages": broken})
+    assert rows() == once
+    more = spark.createDataFrame([(1, 0, "Other"), (9, 0, "Beta"), (7, 0, "New"), (8, 0, "New")], "id long, ns int, title string")
+    more = more.selectExpr("id", "ns", "title", *[f"CAST(NULL AS {t}) AS {n}" for n, t in [(f.name, f.dataType.simpleString()) for f in made["internal_pages"].schema.fields[3:]]])
+    assert stored.insert({"internal_pages": more}, load.KEYS)["internal_pages"] == 1
+    assert {r["id"] for r in stored.read("internal_pages").collect()} == {1, 2, 3, 4, 6, 7}
+    stored.clear("redirects")
+    assert stored.read("redirects").count() == 0 and stored.read("internal_pages").count() == 6
+    stored.clear()
+    assert all(stored.read(n).count() == 0 for n in stored.names())
+    stored.replace({"redirects": made["redirects"]})
+    assert stored.read("redirects").count() == 1
+
+
 def test_index_qrels_queries_and_ranks(spark, tmp_path):
     (tmp_path / "i.txt.bz2").write_bytes(bz2.compress(b"10:1:A:b\n10:2:C\n20:3:D\n"))
     rows = dump.index(spark, f"file://{tmp_path}/i.txt.bz2")

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..config import ARCHIVES, ARTICLE, CATEGORY, EngineConfig
 from ..functions import text as text_functions
-from ..functions.urls import with_domain
+from ..functions.urls import with_domain, with_rules
 from ..functions.wikitext import NAMESPACES, namespace_title
 from ..operators import authority, evaluate, explore, graph, load, matchquery, search, textindex
 from ..operators.segments import SegmentedIndex
 from ..sources import fixture, multistream
 from ..sources.fixture import oracle
-from ..storage import shared_dir
+from ..storage import Tables, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,6 +652,39 @@ def dump_lookup(spark, sf_dir):
     return multistream.looked_up(index, wanted).select("id", "ns", "title", "redirect", F.md5("text").alias("text_md5"))
 
 
+#: Public suffix rules for the hosts of the test tables: plain ones, a wildcard and an exception to it.
+RULES = ("com", "net", "org", "example.com", "*.example.net", "!x.example.net")
+
+
+def _rules_sql() -> str:
+    tail = lambda k: f"array_to_string(labels[len(labels) - {k} + 1:], '.')"
+    known = "[" + ", ".join(f"'{r}'" for r in RULES) + "]"
+    ways = f"[{tail('k')}, CASE WHEN k = 1 THEN '*' ELSE '*.' || {tail('(k - 1)')} END]"
+    but = f"list_max(list_filter(range(1, len(labels) + 1), lambda k: list_contains({known}, '!' || {tail('k')}))) - 1"
+    most = f"list_max(list_filter(range(1, len(labels) + 1), lambda k: list_has_any({known}, {ways})))"
+    return oracle(
+        "SELECT page_id, CASE WHEN k = 0 THEN host || '.' ELSE coalesce(labels[len(labels) - k], '') || '.' || array_to_string(labels[len(labels) - k + 1:], '.') END AS name, "
+        "CASE WHEN k = 0 THEN '' ELSE array_to_string(labels[len(labels) - k + 1:], '.') END AS tld FROM ended",
+        {"split": "SELECT page_id, lower(host) AS host, string_split(lower(host), '.') AS labels FROM hosts", "ended": f"SELECT *, coalesce({but}, {most}, 0) AS k FROM split"},
+    )
+
+
+@query("domain_rules", _rules_sql())
+def domain_rules(spark, sf_dir):
+    rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
+    return with_rules(fixture.model(spark, sf_dir)["external_pages"].select(F.col("id").alias("page_id"), "url"), rules).select("page_id", "name", "tld")
+
+
+@query("tables_reloaded", oracle("SELECT id, ns, title, 1 AS loads FROM internal_pages WHERE ns = 0 UNION ALL SELECT id, ns, title, 2 FROM internal_pages WHERE ns = 14"))
+def tables_reloaded(spark, sf_dir):
+    """Articles, then all pages, then all again are loaded into one table: each page stays as its first load brought it."""
+    pages = fixture.model(spark, sf_dir)["internal_pages"].select("id", "ns", "title")
+    stored = Tables(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    for number, rows in enumerate((pages.where("ns = 0"), pages, pages), 1):
+        stored.insert({"internal_pages": rows.withColumn("loads", F.lit(number))}, load.KEYS)
+    return stored.read("internal_pages")
+
+
 # Evaluation
 
 GRID = evaluate.grid(base=EngineConfig())

@@ -1,9 +1,10 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
-Templates and phrases are sequences of words. The automaton holds every run of words of every one of them; streaming a text
+Templates, phrases and names (``licence_texts``) are sequences of words. The automaton holds every run of words of every one of them; streaming a text
 through it gives its matching statistics: at each word, the longest run ending there that some template holds. Long runs
 that are not part of longer ones are chained, for the templates that hold all of such a run, into spans, and a template's share of words
-covered by its best span, of its own words and those put in between, is its coverage.
+covered by its best span, of its own words and those put in between, is its coverage. A name inside a longer name is part of that one (CC BY-NC of
+CC BY-NC-SA), and so is a clause or text inside a longer text; the phrases that are counted keep their labels wherever they stand.
 """
 
 from __future__ import annotations
@@ -16,100 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+from .licence_texts import CLAUSES, PHRASES, TELLING, TEMPLATES, names
 
-#: Phrases whose places are counted, and their labels.
-PHRASES = {
-    "gnu general public license": "gpl",
-    "apache license": "apache",
-    "cc by": "cc-by",
-    "mit license": "mit",
-}
-
-#: Names of licences that are found whole, and their labels.
-NAMES = {
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "apache software license": "apache-software",
-    "bsd license": "bsd",
-    "isc license": "isc",
-    "mozilla public license": "mpl",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noderivatives": "cc-by-nd",
-    "cc by nc": "cc-by-nc",
-    "cc by sa": "cc-by-sa",
-    "cc by nd": "cc-by-nd",
-}
-
-_WARRANTY = (
-    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
-    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
-    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
-    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-)
-_HOLDERS = (
-    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
-    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
-    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
-    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
-    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
-    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-)
-_NOTICE = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published "
-    "by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the "
-    "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-    "PURPOSE. See the GNU {} General Public License for more details. You should have received a copy of the GNU {} General Public License "
-    "along with this program. If not, see <https://www.gnu.org/licenses/>."
-)
-_DEED = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
-
-#: Licence texts and notices, by label.
-TEMPLATES = {
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
-        "so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software. " + _WARRANTY
-    ),
-    "bsd-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution. " + _HOLDERS
-    ),
-    "isc-text": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
-        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
-        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
-        "SOFTWARE."
-    ),
-    "apache-notice": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
-        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
-        "or implied. See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "gpl-notice": _NOTICE.format("", "3", "", ""),
-    "lgpl-notice": _NOTICE.format("Lesser", "3", "Lesser", "Lesser"),
-    "agpl-notice": _NOTICE.format("Affero", "3", "Affero", "Affero"),
-    "mpl-notice": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
-        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    ),
-    "cc-by-notice": _DEED.format(""),
-    "cc-by-sa-notice": _DEED.format("-ShareAlike"),
-    "cc-by-nc-notice": _DEED.format("-NonCommercial"),
-    "cc-by-nc-sa-notice": _DEED.format("-NonCommercial-ShareAlike"),
-    "cc-by-nd-notice": _DEED.format("-NoDerivatives"),
-}
-#: Words that tell one template from its siblings. A span is a template's only with those of these words that the template has.
-TELLING = "lesser affero library noncommercial sharealike noderivatives noderivs"
+_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
+NAMES = names()
 #: Words of the shortest match that is chained, words of text or template between chained matches, least coverage of a label.
 MIN_MATCH = 3
 MAX_GAP = 8
@@ -218,16 +130,28 @@ class Automaton:
             yield state, n
 
 
+def _outermost(spans: list[dict]) -> list[dict]:
+    """``spans`` without those that lie inside a longer one."""
+    out: list[dict] = []
+    last, end = None, -1
+    for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
+        if s["stop"] > end or (s["start"], s["stop"]) == last:
+            out.append(s)
+            last, end = (s["start"], s["stop"]), s["stop"]
+    return out
+
+
 class Scanner:
-    """Phrases and templates in one automaton, and what it finds in a text."""
+    """Phrases, names, templates and clauses in one automaton, and what it finds in a text."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], names: dict[str, str] | None = None, telling: str = TELLING):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], names: dict[str, str] | None = None, telling: str = TELLING, clauses: dict[str, Iterable[str]] | None = None):
         self.numbers: dict[bytes, int] = {}
         self.n_base, self.telling = len(phrases), set(words_of(telling))
         phrases = {**phrases, **(names or {})}
         number = lambda text: [self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)]
         self.phrases = [(number(p), label) for p, label in phrases.items()]
-        self.templates = [(number(t), label) for label, t in templates.items()]
+        texts = [*templates.items(), *[(label, c) for label, some in (clauses or {}).items() for c in some]]
+        self.templates = [(number(t), label) for label, t in texts]
         self.automaton = Automaton()
         for i, (sequence, _) in enumerate([*self.phrases, *self.templates]):
             self.automaton.add(i, sequence)
@@ -243,7 +167,7 @@ class Scanner:
         for state in sorted(range(1, len(self.whole)), key=self.automaton.length.__getitem__):
             self.whole[state] = sorted({*self.whole[state], *self.whole[self.automaton.link[state]]})
         #: Of each template, the telling words that it has.
-        self.told = [self.telling & set(words_of(t)) for t in templates.values()]
+        self.told = [self.telling & set(words_of(t)) for _, t in texts]
         self.shortest = min([MIN_MATCH, *[len(s) for s, _ in self.phrases]])
 
     def scan(self, text: str | None) -> dict:
@@ -257,18 +181,22 @@ class Scanner:
         for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
             if b - a >= self.shortest:  # no run of words leads over a word that no template has
                 self._run(a, ids[a:b].tolist(), base, matches)
-        spans = self._chained(matches, words)
-        named = sorted((s, s + len(self.phrases[i][0]), self.phrases[i][1]) for s, i in base)
-        spans += [{"label": label, "start": s, "stop": e, "coverage": 1.0} for s, e, label in named]
-        spans.sort(key=lambda s: (s["start"], s["stop"], s["label"]))
+        score = 0.0
+        chained = self._chained(matches, words)
+        if chained:
+            score = max(s["coverage"] for s in chained)
+        place = lambda s, i: {"label": self.phrases[i][1], "start": s, "stop": s + len(self.phrases[i][0]), "coverage": 1.0}
+        named = _outermost([place(s, i) for s, i in base if i >= self.n_base])
         base = [(s, i) for s, i in base if i < self.n_base]
+        spans = _outermost([s for s in chained if s["coverage"] >= MIN_COVERAGE]) + named + [place(s, i) for s, i in base]
+        spans.sort(key=lambda s: (s["start"], s["stop"], s["label"]))
         base_labels = sorted({self.phrases[i][1] for _, i in base})
-        labels = sorted({s["label"] for s in spans if s["coverage"] >= MIN_COVERAGE})
+        labels = sorted({s["label"] for s in spans})
         starts = [s for s, _ in base]
         return {
             "n_words": len(words), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
-            "base_labels": base_labels, "labels": labels, "spans": [s for s in spans if s["coverage"] >= MIN_COVERAGE],
-            "score": max([s["coverage"] for s in spans], default=0.0),
+            "base_labels": base_labels, "labels": labels, "spans": spans,
+            "score": 1.0 if named or base else score,
         }
 
     def _run(self, at: int, ids: list[int], base: list, matches: list) -> None:
@@ -313,17 +241,23 @@ class Scanner:
 
 
 def scanned(
-    docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, names: dict[str, str] | None = None
+    docs: DataFrame,
+    text: str = "text",
+    phrases: dict[str, str] | None = None,
+    templates: dict[str, str] | None = None,
+    names: dict[str, str] | None = None,
+    clauses: dict[str, Iterable[str]] | None = None,
 ) -> DataFrame:
     """``docs`` plus ``__licence``: ``n_words``, places of the phrases (``n_base, first_word, last_word, base_labels``), ``spans`` of phrases
     and names and of templates covered for half or more, ``labels`` of all, and ``score``, the largest coverage of any (a phrase's or name's is 1).
 
-    Null and empty texts have no words and no labels; each row is scanned by itself; other columns pass unchanged. Templates are
-    parameters, few and short; each task builds the automaton.
+    Null and empty texts have no words and no labels; each row is scanned by itself; other columns pass unchanged. Names, templates and
+    clauses are parameters, few and short; each task builds the automaton.
     """
     columns = docs.columns
     at = columns.index(text)
-    chosen = (PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, NAMES if names is None else names)
+    given = lambda x, default: default if x is None else x
+    chosen = (given(phrases, PHRASES), given(templates, TEMPLATES), given(names, NAMES), TELLING, given(clauses, CLAUSES))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*chosen)

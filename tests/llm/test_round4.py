@@ -313,3 +313,34 @@ def test_counts_never_part_lines_within_the_limit(spark):
     met = side("a").join(side("b"), ["a", "b"])
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(len(lines.COUNTED) // 8 + (len(lines.COUNTED) % 8 > 0))), F.lit(0))
     assert met.where(differ + F.abs(F.length("a") - F.length("b")) > 2 * F.levenshtein("a", "b")).count() == 0
+
+
+def test_long_lines_are_decided_as_by_their_edits(spark):
+    """Lines of 600 to 3,000 characters, also of one phrase again and again, with words put in, left out, moved and exchanged, near the limit and over it."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import lines
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for number in range(60):
+        vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 10)))) for _ in range(8 if number % 3 == 0 else 200)]
+        size = int(rng.integers(110, 400))
+        a = [vocabulary[i % 8] for i in range(size)] if number % 3 == 0 else [vocabulary[i] for i in rng.integers(0, len(vocabulary), size)]
+        b = list(a)
+        if number % 3 == 0:
+            b = [w if i % 8 != 3 else "xy" for i, w in enumerate(b)][number % 9 :]
+        for _ in range(int(rng.integers(0, size // 4))):
+            i, kind = int(rng.integers(0, len(b))), int(rng.integers(0, 3))
+            b[i : i + (kind != 0)] = [] if kind == 1 else ["new"]
+        if number % 5 == 0:
+            b[40:40] = a[:20]
+        rows.append((number, " ".join(a), " ".join(b)))
+    texts = spark.createDataFrame([r for n, a, b in rows for r in ((2 * n, a), (2 * n + 1, b))], "id long, words string")
+    coded = lines._coded(texts)
+    pairs = lines._as(coded.where("id % 2 = 0"), "a").join(lines._as(coded.where("id % 2 = 1"), "b"), F.col("id_b") == F.col("id_a") + 1)
+    most = lines._limit("n_a", "n_b")
+    out = pairs.select(lines._near().alias("near"), F.expr(lines._enough(most)).alias("e"), F.expr(most).alias("most"), F.expr("levenshtein(words_a, words_b)").alias("d")).collect()
+    assert len(out) == 60 and 10 < sum(r["near"] for r in out) < 55
+    assert all(r["near"] == (r["d"] <= r["most"]) and r["e"] >= min(r["d"], r["most"] + 1) for r in out)

@@ -26,15 +26,17 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 def lowered(text: Column) -> Column:
     """Lower case with one small sigma."""
-    return F.translate(F.lower(text), "ς", "σ")
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
-def folded(text: Column) -> Column:
+def folded(text: Column | str) -> Column:
     """Lower case without the diacritics of Latin letters; other scripts keep theirs."""
-    return lowered(F.translate(text, _MARKED, _PLAIN))
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.octet_length(text) == F.length(text)
+    return lowered(F.when(plain, text).otherwise(F.translate(text, _MARKED, _PLAIN)))
 
 
-def unicode_tokens(text: Column) -> Column:
+def unicode_tokens(text: Column | str) -> Column:
     """Runs of letters and digits of the folded text."""
     return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKENIZERS
+from ..storage import cut
 from . import textindex
 from .textindex import TextIndex
 
@@ -179,11 +180,20 @@ def _ways(node: Node, wanted: bool, number: dict[Unit, int], void: set[int]) ->
     return out
 
 
+def _leaves(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """``textindex.phrases`` of ``wanted``, with what tells them apart as their keys."""
+    rows = wanted.withColumn("tag", F.concat_ws("|", "unit", "part", F.col("prefix").cast("int"), F.col("first").cast("int"), "key"))
+    return textindex.phrases(rows.select(F.col("tag").alias("key"), F.col("text").alias("term")), index.kind)
+
+
+def _narrowed(index: TextIndex, wanted: DataFrame) -> TextIndex:
+    leaves = _leaves(index, wanted)
+    return textindex.narrowed(index, leaves.where(~_by_beginning(index)), leaves.where(_by_beginning(index)))
+
+
 def _found(index: TextIndex, wanted: DataFrame) -> DataFrame:
     """``key, unit, part, doc_id, size, tokens, starts`` of the phrases ``wanted(key, unit, part, text, prefix, first)``."""
-    rows = wanted.withColumn("tag", F.concat_ws("|", "unit", "part", F.col("prefix").cast("int"), F.col("first").cast("int"), "key"))
-    asked = rows.select(F.col("tag").alias("key"), F.col("text").alias("term"))
-    leaves = textindex.phrases(asked, index.kind)
+    leaves = _leaves(index, wanted)
     plain = textindex.sought(index, leaves.where(~_by_beginning(index)))
     columns = ["key", "tokens", "doc_id", "size", "place", "places"]
     met = plain.select(*columns)
@@ -228,7 +238,8 @@ def answered(index: TextIndex, queries: DataFrame) -> DataFrame:
     ways = [(k, [(sorted(a), sorted(b)) for a, b in _ways(t, True, numbers[k], void.get(k, set()))]) for k, t in trees.items()]
     table = F.broadcast(spark.createDataFrame(ways, "key string, ways array<struct<need: array<int>, shun: array<int>>>"))
     sizes = F.broadcast(wanted.groupBy("key", "unit").agg(F.max("near").alias("near"), F.count(F.lit(1)).alias("parts")))
-    found = _found(index, F.broadcast(wanted))
+    index = _narrowed(index, wanted)
+    found = cut(_found(index, F.broadcast(wanted)))
     holders = found.groupBy("key", "unit", "part").agg(F.count(F.lit(1)).alias("n"))
     units = found.groupBy("key", "unit", "doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("part", "tokens", "starts")).alias("p")).join(sizes, ["key", "unit"])
     units = units.where(F.size("p") == F.col("parts"))

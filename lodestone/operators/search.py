@@ -5,13 +5,14 @@ from __future__ import annotations
 import sys
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ARTICLE, DEFAULT, EngineConfig
 from ..functions.text import query_terms
-from ..storage import shared_dir
+from ..storage import cut, shared_dir
 from . import matchquery, textindex
 from .textindex import TextIndex
 
@@ -76,42 +77,57 @@ def _top(found: DataFrame, weight: float, k1: int, stream: int) -> DataFrame:
     return rows.withColumn("__r", place).where(F.col("__r") <= k1).drop("__r").withColumn("stream", F.lit(stream))
 
 
+def _parted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, term`` of the queries that are plain words, and the queries with operators."""
+    marked = queries.where(F.col("query").rlike(_SYNTAX))
+    return queries.where(~F.coalesce(F.col("query").rlike(_SYNTAX), F.lit(False))).select("key", F.explode(query_terms(F.col("query"))).alias("term")), marked
+
+
 def _raw(index: TextIndex, queries: DataFrame) -> DataFrame:
     """``key, doc_id, bm25`` of the queries as they were typed: operators are read, words side by side must all be there.
 
     Plain words may be asked in any number; queries with operators are a query set of ``textindex.SMALL_ROWS`` at most. One that is no query raises ``ValueError``.
     """
-    marked = queries.where(F.col("query").rlike(_SYNTAX))
-    terms = queries.where(~F.coalesce(F.col("query").rlike(_SYNTAX), F.lit(False))).select("key", F.explode(query_terms(F.col("query"))).alias("term"))
+    terms, marked = _parted(queries)
     found = textindex.bm25(index, terms, "bare")
     return found if marked.isEmpty() else found.unionByName(matchquery.answered(index, marked))
 
 
+def _best_raw(index: TextIndex, narrow: TextIndex, queries: DataFrame, k: int, pages: DataFrame) -> DataFrame:
+    """``key, id, bm25`` of the best pages of the queries as ``_raw`` reads them; plain words are looked up in ``narrow``."""
+    terms, marked = _parted(queries)
+    found = textindex.best(narrow, terms, "bare", k, pages)
+    return found if marked.isEmpty() else found.unionByName(matchquery.answered(index, marked).join(pages, "doc_id").select("key", "id", "bm25"))
+
+
+def _narrowed(index: SearchIndex, queries: DataFrame, names: list[str]) -> SearchIndex:
+    """The indexes of these names for the words of the queries, so that weights and streams share one pass over the texts."""
+    terms = queries.select("key", F.explode(query_terms(F.col("query"))).alias("term"))
+    made = {name: textindex.narrowed(getattr(index, name), textindex.phrases(terms, getattr(index, name).kind)) for name in names}
+    return replace(index, **made)
+
+
 def candidates(index: SearchIndex, queries: DataFrame, interactive: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
     """The streams' best pages: ``key, stream, id, ns, title, text_id, bm25 (weighted), rank1, authority``."""
     pages = index.pages.where((F.col("ns") == ARTICLE) & F.col("text_id").isNotNull()).select("id", "ns", "title", "text_id", "rank1", "authority")
-    titles = kept_terms(idfs(index.title_unicode, queries), config.idf_threshold).select("key", "term")
-    by_title = lambda which, terms, mode: textindex.bm25(which, terms, mode).withColumnRenamed("doc_id", "id").join(pages, "id")
-    by_text = lambda which, terms, mode: textindex.bm25(which, terms, mode).withColumnRenamed("doc_id", "text_id").join(pages, "text_id")
-    typed = lambda which, on: _raw(which, queries).withColumnRenamed("doc_id", on).join(pages, on)
-    columns = ["key", "stream", "id", "ns", "title", "text_id", "bm25", "rank1", "authority"]
+    by_id, by_text = pages.select(F.col("id").alias("doc_id"), "id"), pages.select(F.col("text_id").alias("doc_id"), "id")
+    here = _narrowed(index, queries, ["title_unicode", "title_trigram"] if interactive else ["title_unicode", "title_trigram", "text_unicode", "text_trigram"])
+    titles = cut(kept_terms(idfs(here.title_unicode, queries), config.idf_threshold).select("key", "term"))
     if interactive:
         streams = [
-            _top(by_title(index.title_unicode, titles, "and"), config.title_unicode, config.k1, 0),
-            _top(by_title(index.title_trigram, titles, "and"), config.title_trigram, config.k1, 1),
+            (textindex.best(here.title_unicode, titles, "and", config.k1, by_id), config.title_unicode),
+            (textindex.best(here.title_trigram, titles, "and", config.k1, by_id), config.title_trigram),
         ]
     else:
-        texts = kept_terms(idfs(index.text_unicode, queries), config.idf_threshold).select("key", "term")
+        texts = cut(kept_terms(idfs(here.text_unicode, queries), config.idf_threshold).select("key", "term"))
         streams = [
-            _top(by_title(index.title_unicode, titles, "or"), config.title_unicode, config.k1, 0),
-            _top(typed(index.title_trigram, "id"), config.title_trigram, config.k1, 1),
-            _top(by_text(index.text_unicode, texts, "and"), config.text_unicode, config.k1, 2),
-            _top(typed(index.text_trigram, "text_id"), config.text_trigram, config.k1, 3),
+            (textindex.best(here.title_unicode, titles, "or", config.k1, by_id), config.title_unicode),
+            (_best_raw(index.title_trigram, here.title_trigram, queries, config.k1, by_id), config.title_trigram),
+            (textindex.best(here.text_unicode, texts, "and", config.k1, by_text), config.text_unicode),
+            (_best_raw(index.text_trigram, here.text_trigram, queries, config.k1, by_text), config.text_trigram),
         ]
-    out = streams[0].select(*columns)
-    for stream in streams[1:]:
-        out = out.unionByName(stream.select(*columns))
-    return out
+    found = reduce(DataFrame.unionByName, [_top(rows, weight, config.k1, stream) for stream, (rows, weight) in enumerate(streams)])
+    return found.join(pages, "id").select("key", "stream", "id", "ns", "title", "text_id", "bm25", "rank1", "authority")
 
 
 def ranked(found: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -4,7 +4,8 @@ An index is a table of postings: a row for each term of each text, with the text
 all its tokens stand one after another, so the places of its tokens, shifted by their own places in the phrase, have a start in common; of a
 phrase's trigrams every third and the last are enough, as they cover its characters. Many queries run in one plan; every table of matches is keyed
 by query. Scores need nothing but postings and two numbers. A stored index is sorted by term, so that the tokens of a few
-queries, pushed to the scan, leave most row groups unread.
+queries, pushed to the scan, leave most row groups unread. An index that is not stored is made only for the tokens that are asked
+(``narrowed``), in one pass over the texts that shuffles nothing.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKENIZERS, lowered, unicode_tokens
+from ..storage import cut
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -98,23 +100,33 @@ def small(rows: DataFrame) -> tuple[DataFrame, list | None]:
     return F.broadcast(rows.sparkSession.createDataFrame(held, rows.schema)), held
 
 
-def _grouped(ids: pa.Array, lengths: np.ndarray, codes: np.ndarray, names: pa.Array) -> pa.RecordBatch:
-    """Postings of a few texts from all their tokens' codes, text by text."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def _grouped(ids: pa.Array, lengths: np.ndarray, doc: np.ndarray, place: np.ndarray, codes: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    """Postings of a few texts from their tokens, each given by its text, place and code."""
     key = doc * max(1, len(names)) + codes
     order = np.argsort(key, kind="stable")
-    key, place = key[order], place[order]
+    key, place, doc = key[order], place[order], doc[order]
     first = np.nonzero(np.diff(key, prepend=-1))[0]
     counts = np.diff(first, append=len(key))
     offsets = pa.array(np.append(first, len(key)).astype(np.int32))
     columns = [
-        names.take(pa.array(key[first] % max(1, len(names)))), ids.take(pa.array(doc[order][first])), pa.array(lengths[doc[order][first]], pa.int32()),
+        names.take(pa.array(key[first] % max(1, len(names)))), ids.take(pa.array(doc[first])), pa.array(lengths[doc[first]], pa.int32()),
         pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
     ]
     return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=_ARROW)
 
 
+def _sizes(ids: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
+    """A row without a term for each text, with its size."""
+    n = len(ids)
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), ids, pa.array(lengths, pa.int32()), pa.array(np.zeros(n, np.int32)), none], schema=_ARROW)
+
+
+def _places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the place of each token of texts with so many."""
+    return np.repeat(np.arange(len(lengths)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of texts with some ``_CHUNK_TOKENS`` each, at least one."""
     start, held = 0, 0
@@ -127,37 +139,76 @@ def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of ``doc_id, tokens``."""
+def _words(batches: Iterable[pa.RecordBatch], tokens: list[str] | None = None, beginnings: Iterable[str] = ()) -> Iterator[pa.RecordBatch]:
+    """Postings of ``doc_id, tokens``; of the given ``tokens`` and those with such ``beginnings`` alone, and sizes, if these are given."""
     for batch in batches:
-        tokens = batch.column(1)
-        for a, b in _pieces(pc.list_value_length(tokens).to_numpy()):
-            part = tokens.slice(a, b - a)
+        each = batch.column(1)
+        for a, b in _pieces(pc.list_value_length(each).to_numpy()):
+            part, ids = each.slice(a, b - a), batch.column(0).slice(a, b - a)
             kinds = part.flatten().dictionary_encode()
-            yield _grouped(batch.column(0).slice(a, b - a), pc.list_value_length(part).to_numpy().astype(np.int64), kinds.indices.to_numpy().astype(np.int64), kinds.dictionary)
-
-
-def _threes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of the trigrams of ``doc_id, text``."""
+            lengths, codes = pc.list_value_length(part).to_numpy().astype(np.int64), kinds.indices.to_numpy().astype(np.int64)
+            doc, place = _places(lengths)
+            if tokens is not None:
+                keep = pc.is_in(kinds.dictionary, value_set=pa.array(tokens, pa.string()))
+                for start in beginnings:
+                    keep = pc.or_(keep, pc.starts_with(kinds.dictionary, start))
+                at = np.nonzero(keep.to_numpy(zero_copy_only=False)[codes])[0] if len(codes) else codes
+                doc, place, codes = doc[at], place[at], codes[at]
+                yield _sizes(ids, lengths)
+            yield _grouped(ids, lengths, doc, place, codes, kinds.dictionary)
+
+
+_HASHED = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _spots(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``codes`` that are among the sorted ``wanted``: a table of hashes leaves few to look up."""
+    short = lambda x: (x.astype(np.uint64) * _HASHED) >> np.uint64(44)
+    table = np.zeros(1 << 20, bool)
+    table[short(wanted)] = True
+    at = np.nonzero(table[short(codes)])[0]
+    near = np.minimum(np.searchsorted(wanted, codes[at]), max(0, len(wanted) - 1))
+    return at[wanted[near] == codes[at]] if len(wanted) else at[:0]
+
+
+def _threes(batches: Iterable[pa.RecordBatch], tokens: list[str] | None = None, beginnings: Iterable[str] = ()) -> Iterator[pa.RecordBatch]:
+    """Postings of the trigrams of ``doc_id, text``; of the given ``tokens`` alone, and sizes, if these are given."""
+    coded = lambda c: c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    letters = lambda text: np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wanted = None if tokens is None else np.array(sorted(int(coded(letters(t))[0]) for t in set(tokens)), np.int64)
     for batch in batches:
         texts = batch.column(1)
         for a, b in _pieces(pc.utf8_length(texts).to_numpy()):
-            part = texts.slice(a, b - a)
+            part, ids = texts.slice(a, b - a), batch.column(0).slice(a, b - a)
             lengths = pc.utf8_length(part).to_numpy().astype(np.int64)
-            chars = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            n = np.maximum(lengths - 2, 0)
-            starts = np.repeat(np.cumsum(lengths) - lengths, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found, codes = np.unique(chars[starts] << 42 | chars[starts + 1] << 21 | chars[starts + 2] if len(starts) else starts, return_inverse=True)
-            letters = np.column_stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF]).astype("<u4")
-            whole = letters.tobytes().decode("utf-32-le", "surrogatepass")
-            yield _grouped(batch.column(0).slice(a, b - a), n, codes.astype(np.int64), pa.array([whole[i : i + 3] for i in range(0, len(whole), 3)], pa.string()))
-
-
-def postings(texts: DataFrame, kind: str) -> DataFrame:
-    """``POSTINGS`` of ``texts(doc_id, body)``: at most a row for each distinct term of a text."""
+            chars = letters("".join(part.to_pylist()))
+            n, ends = np.maximum(lengths - 2, 0), np.cumsum(lengths)
+            every = coded(chars) if len(chars) > 2 else chars[:0]
+            if wanted is None:
+                doc, place = _places(n)
+                every = every[np.repeat(ends - lengths, n) + place]
+            else:
+                at = _spots(every, wanted)
+                doc = np.searchsorted(ends, at, side="right")
+                whole = at + 2 < ends[doc]  # not over the end of a text
+                at, doc = at[whole], doc[whole]
+                place, every = at - (ends - lengths)[doc], every[at]
+                yield _sizes(ids, n)
+            found, codes = np.unique(every, return_inverse=True)
+            split = np.column_stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF]).astype("<u4")
+            names = split.tobytes().decode("utf-32-le", "surrogatepass")
+            yield _grouped(ids, n, doc, place, codes.astype(np.int64), pa.array([names[i : i + 3] for i in range(0, len(names), 3)], pa.string()))
+
+
+def postings(texts: DataFrame, kind: str, tokens: list[str] | None = None, beginnings: Iterable[str] = ()) -> DataFrame:
+    """``POSTINGS`` of ``texts(doc_id, body)``: at most a row for each distinct term of a text.
+
+    With ``tokens`` only theirs and those of words with such ``beginnings``, and beside them a row for each text with its size and no term.
+    """
     body = F.coalesce("body", F.lit(""))
     made, each = (unicode_tokens(body), _words) if kind == "unicode" else (lowered(body), _threes)
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made")).mapInArrow(each, POSTINGS)
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made"))
+    return rows.mapInArrow(lambda batches: each(batches, tokens, beginnings), POSTINGS)
 
 
 def build(texts: DataFrame, kind: str) -> TextIndex:
@@ -165,6 +216,22 @@ def build(texts: DataFrame, kind: str) -> TextIndex:
     return TextIndex(kind, postings(texts, kind), texts)
 
 
+def narrowed(index: TextIndex, tokens: DataFrame, beginnings: DataFrame | None = None) -> TextIndex:
+    """An index of all texts that holds what is asked: postings of these ``token`` rows, and of words with such beginnings.
+
+    A stored index is as it is. The texts are read once; a row of each with its size gives the statistics, which are those of the whole index.
+    """
+    if index.texts is None:
+        return index
+    asked = [None if rows is None else small(rows.select("token").distinct())[1] for rows in (tokens, beginnings)]
+    if asked[0] is None or (beginnings is not None and asked[1] is None):
+        return index
+    names, starts = (sorted({r["token"] for r in rows or []}) for rows in asked)
+    rows = cut(postings(index.texts, index.kind, names, starts))
+    row = rows.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).first()
+    return TextIndex(index.kind, rows.where("term IS NOT NULL"), None, None, (row["n"], row["t"] or 0))
+
+
 def load(spark, folder: str, kind: str) -> TextIndex:
     row = spark.read.parquet(f"{folder}/stats").first()
     return TextIndex(kind, spark.read.parquet(f"{folder}/postings"), None, spark.read.parquet(f"{folder}/terms"), (row["n"], row["total"]))
@@ -199,7 +266,12 @@ def starts(found: Column) -> Column:
 
 def matches(index: TextIndex, terms: DataFrame) -> DataFrame:
     """``key, phrase, doc_id, f, size``: how often each text holds each term of ``terms(key, term)`` as a phrase, and its tokens."""
-    met = sought(index, phrases(terms, index.kind))
+    return matched(index, phrases(terms, index.kind))
+
+
+def matched(index: TextIndex, tokens: DataFrame) -> DataFrame:
+    """``matches`` of the terms whose ``phrases`` are given."""
+    met = sought(index, tokens)
     alone = met.where("tokens = 1").select("key", "phrase", "doc_id", F.col("n").cast("long").alias("f"), "size")
     several = met.where("tokens > 1").groupBy("key", "phrase", "tokens", "doc_id").agg(
         F.count(F.lit(1)).alias("hits"), F.first("size").alias("size"), F.collect_list(F.struct("place", "places")).alias("found")
@@ -208,12 +280,15 @@ def matches(index: TextIndex, terms: DataFrame) -> DataFrame:
     return alone.unionByName(several.where("f > 0"))
 
 
+def _mean(index: TextIndex) -> float:
+    return index.total / index.n if index.n and index.total else 1.0
+
+
 def score(f: Column, size: Column, n: Column, index: TextIndex) -> Column:
     """A phrase's part of a text's BM25 (negative), with ``n`` texts that hold it."""
-    mean = index.total / index.n if index.n and index.total else 1.0
     raw = F.log((F.lit(float(index.n)) - n + 0.5) / (n + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
-    return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / F.lit(mean)))
+    return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / F.lit(_mean(index))))
 
 
 def bm25(index: TextIndex, terms: DataFrame, mode: str) -> DataFrame:
@@ -223,7 +298,8 @@ def bm25(index: TextIndex, terms: DataFrame, mode: str) -> DataFrame:
     Statistics are over all texts of the index.
     """
     terms, _ = small(terms)
-    found = matches(index, terms)
+    index = narrowed(index, phrases(terms, index.kind))
+    found = cut(matches(index, terms))
     counts = found.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"))
     scored = found.join(counts, ["key", "phrase"])
     scored = scored.select("key", "doc_id", score(F.col("f"), F.col("size"), F.col("n"), index).alias("s"))
@@ -234,3 +310,79 @@ def bm25(index: TextIndex, terms: DataFrame, mode: str) -> DataFrame:
     counted = terms.where(has_tokens) if mode == "bare" else terms
     needed = counted.groupBy("key").agg(F.count(F.lit(1)).alias("needed"))
     return totals.join(needed, "key").where(F.col("met") == F.col("needed")).select("key", "doc_id", "bm25")
+
+
+def _best_here(batches: Iterable[pa.RecordBatch], groups: list[list[int]], idf: np.ndarray, mean: float, every: bool, k: int) -> Iterator[pa.RecordBatch]:
+    """``group, id, bm25``: each group's best pages of a batch ``id, size, held``, ``held`` being the phrases of the page's text and their counts."""
+    for batch in batches:
+        ids, size, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        phrase, f = (x.to_numpy() for x in held.flatten().flatten())
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(held).to_numpy())
+        s = -idf[phrase] * f * (K1 + 1) / (f + K1 * (1 - B + B * size[row] / mean))
+        order = np.argsort(phrase, kind="stable")
+        row, s = row[order], s[order]
+        bounds = np.searchsorted(phrase[order], np.arange(len(idf) + 1)).tolist()
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for group, members in enumerate(groups):
+            ranges = [slice(bounds[m], bounds[m + 1]) for m in members if bounds[m] < bounds[m + 1]]
+            if not ranges or (every and len(ranges) < len(members)):
+                continue
+            if len(ranges) == 1:
+                at, total = row[ranges[0]], s[ranges[0]]
+            else:
+                total, met = np.zeros(len(ids)), np.zeros(len(ids), np.int32)
+                for part in ranges:
+                    total[row[part]] += s[part]
+                    met[row[part]] += 1
+                at = np.nonzero(met == len(members) if every else met)[0]
+                total = total[at]
+            if len(at) > k:
+                near = total <= np.partition(total, k - 1)[k - 1]
+                at, total = at[near], total[near]
+                first = np.lexsort((ids[at], total))[:k]
+                at, total = at[first], total[first]
+            if len(at):
+                out.append((group, ids[at], total))
+        if out:
+            number = np.repeat([g for g, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.concatenate([x for _, x, _ in out])), pa.array(np.concatenate([t for _, _, t in out]))], names=["group", "id", "bm25"])
+
+
+def best(index: TextIndex, terms: DataFrame, mode: str, k: int, pages: DataFrame) -> DataFrame:
+    """``key, id, bm25``: for each key the ``k`` best (then least) of ``pages(doc_id, id)`` whose texts match, as ``bm25`` has them.
+
+    Each term is looked up once, however many keys have it, and keys with the same terms are one group. The phrases of a text come together in one row, and a task
+    scores all groups over its texts and leaves each group's best, so what is shuffled grows with texts and with groups, not with their product.
+    """
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("bm25", "id"))
+    first = lambda rows, by: rows.withColumn("__r", place(by)).where(F.col("__r") <= k).drop("__r")
+    _, held = small(terms.select("key", "term").distinct())
+    if held is None:
+        return first(bm25(index, terms, mode).join(pages, "doc_id").select("key", "id", "bm25"), "key")
+    spark = terms.sparkSession
+    names = sorted({r["term"] for r in held})
+    tokens = phrases(spark.createDataFrame([(str(i), t) for i, t in enumerate(names)], "key string, term string"), index.kind)
+    looked = tokens.collect()
+    tokens = spark.createDataFrame(looked, tokens.schema)
+    kept = {int(r["key"]) for r in looked}
+    number = {t: i for i, t in enumerate(names)}
+    by_key: dict[str, set[int]] = {}
+    for r in held:
+        by_key.setdefault(r["key"], set()).add(number[r["term"]])
+    asked: dict[tuple[int, ...], int] = {}
+    keys = []
+    for key, members in by_key.items():
+        found = tuple(sorted(members & kept))
+        if found and (mode != "and" or members <= kept):
+            keys.append((key, asked.setdefault(found, len(asked))))
+    index = narrowed(index, tokens)
+    rows = cut(matched(index, tokens).select(F.col("key").cast("int").alias("phrase"), "f", "doc_id", "size"))
+    counts = {r["phrase"]: r["n"] for r in rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = np.array([counts.get(i, 0) for i in range(len(names))], np.float64)
+    raw = np.log(np.maximum(index.n - n + 0.5, 0.5) / (n + 0.5))
+    idf, groups, mean, every = np.where(raw > 0, raw, LEAST_IDF), [list(g) for g in asked], _mean(index), mode != "or"
+    texts = rows.groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("phrase", "f")).alias("held"))
+    here = texts.join(pages.select("doc_id", "id"), "doc_id").select("id", "size", "held")
+    here = here.mapInArrow(lambda batches: _best_here(batches, groups, idf, mean, every, k), "group int, id long, bm25 double")
+    grouped = spark.createDataFrame(keys, "key string, group int")
+    return first(here, "group").join(F.broadcast(grouped), "group").select("key", "id", "bm25")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import evaluate, search, textindex
+from lodestone.operators import evaluate, matchquery, search, textindex
 
 TITLES = ["Isaac Newton", "Newton", "Knewton news", "Enewton", "Café de Flore", "O'Brien UK", "newtonewton twice", "AI in UK", "the mercury planet", "Newton Newton a"]
 
@@ -132,3 +132,46 @@ def test_grid_search_agrees_with_single_runs(spark):
         one = search.search(made, queries, False, s).select("key", "position", "title")
         want = evaluate.means(evaluate.ndcg(one, qrels)).first()["ndcg_pessimistic"]
         assert math.isclose(rows[s.title_unicode, s.alpha], want)
+
+
+def test_best_pages_of_many_keys_are_those_of_bm25(spark):
+    """Ties by id, terms without tokens and terms that nothing holds, each key's best pages at most ``k``."""
+    rng = random.Random(3)
+    words = ["ab", "abc", "bcd", "x", "newton", "é", "a"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    asked = [(f"k{i}", t) for i in range(25) for t in {rng.choice([*words, "!!", "qqz"]) for _ in range(rng.randint(1, 3))}]
+    terms = spark.createDataFrame(asked, "key string, term string")
+    pages = spark.createDataFrame([(i, 100 - i) for i in range(1, 61) if i % 7], "doc_id long, id long")
+    for kind in ("unicode", "trigram"):
+        made = index(spark, rows, kind)
+        for mode in ("and", "or", "bare"):
+            want = {}
+            for r in textindex.bm25(made, terms, mode).join(pages, "doc_id").collect():
+                want.setdefault(r["key"], []).append((round(r["bm25"], 12), r["id"]))
+            got = {}
+            for r in textindex.best(made, terms, mode, 5, pages).collect():
+                got.setdefault(r["key"], []).append((round(r["bm25"], 12), r["id"]))
+            assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:5] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["unicode", "trigram"])
+def test_narrowed_index_has_all_postings_of_its_tokens_and_the_whole_statistics(spark, kind):
+    rows = [*TITLES, "", None, "ab", "Newto", "n newtο"]
+    made = index(spark, rows, kind)
+    tokens = ["newton", "new"] if kind == "unicode" else ["new", "wto", "qqq"]
+    starts = None if kind == "trigram" else spark.createDataFrame([("kn",)], "token string")
+    narrow = textindex.narrowed(made, spark.createDataFrame([(t,) for t in tokens], "token string"), starts)
+    rule = F.col("term").isin(tokens) | (F.lit(kind == "unicode") & F.col("term").startswith("kn"))
+    rows = lambda x: sorted((r["term"], r["doc_id"], r["size"], r["n"], tuple(r["places"])) for r in x.collect())
+    assert rows(narrow.postings) == rows(made.postings.where(rule)) != []
+    assert (narrow.n, narrow.total) == (made.n, made.total)
+
+
+def test_operators_read_texts_without_shuffling_an_index(spark, monkeypatch):
+    """Postings are made of the tokens that are asked, not of every token."""
+    made, seen = index(spark, TITLES, "unicode"), []
+    whole = textindex.postings
+    monkeypatch.setattr(textindex, "postings", lambda texts, kind, tokens=None, beginnings=(): seen.append((tokens, beginnings)) or whole(texts, kind, tokens, beginnings))
+    asked = spark.createDataFrame([("a", "newton NOT kn*")], "key string, query string")
+    assert {r["doc_id"] for r in matchquery.answered(made, asked).collect()} == {1, 2, 10}
+    assert seen == [(["newton"], ["kn"])]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import replace
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,19 @@ def _dcg(rows: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
     return rows.where(F.col("position") <= k).groupBy(*by).agg(F.sum(_gain(F.col("rel"), F.col("position"))).alias(name))
 
 
+def _ideal(qrels: DataFrame, k: int) -> DataFrame:
+    """``key, ideal`` of the found judgements, best first, of the queries where it is above zero."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rel"), "title"))
+    return _dcg(qrels.where("found").withColumn("position", place), ["key"], k, "ideal").where("ideal > 0")
+
+
 def ndcg(results: DataFrame, qrels: DataFrame, k: int = DEFAULT.k2) -> DataFrame:
     """``key, ndcg_pessimistic, ndcg_optimistic`` of the queries with a found judgement above zero.
 
     ``results(key, position, title)``, ``qrels(key, title, rel, found)``. Unjudged results count as irrelevant, or (optimistic) are
     left out and the others close up. The ideal is the found judgements, best first.
     """
-    found = qrels.where("found")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rel"), "title"))
-    ideal = _dcg(found.withColumn("position", place), ["key"], k, "ideal").where("ideal > 0")
+    ideal = _ideal(qrels, k)
     judged = results.join(qrels.select("key", "title", "rel"), ["key", "title"], "left")
     strict = _dcg(judged.withColumn("rel", F.coalesce("rel", F.lit(0))), ["key"], k, "strict")
     closed = judged.where("rel IS NOT NULL").withColumn("position", F.row_number().over(Window.partitionBy("key").orderBy("position")))
@@ -56,34 +62,47 @@ def grid(k1=(50, 100, 150), title=(1.0, 2.0, 3.0), text=(1.0, 2.0, 3.0), alpha=(
     return [replace(base, k1=a, title_unicode=b, title_trigram=b, text_unicode=c, text_trigram=c, alpha=d) for a, b, c, d in product(k1, title, text, alpha)]
 
 
+def _gains(table: pa.Table, settings: list[EngineConfig]) -> pa.Table:
+    """``key, setting, strict, loose`` of one query's candidates ``key, stream, id, bm25, rank, rel`` (unweighted), for every setting."""
+    stream, ids, bm25, rank, rel = (table.column(c).to_numpy() for c in ("stream", "id", "bm25", "rank", "rel"))
+    order = np.lexsort((ids, bm25, stream))
+    stream, ids, bm25, rank, rel = stream[order], ids[order], bm25[order], rank[order], rel[order]
+    place = np.arange(len(ids)) - np.searchsorted(stream, stream) + 1
+    part = lambda a, most: a / most if most else np.zeros(len(a))
+    rows = []
+    for number, c in enumerate(settings):
+        in_k1 = place <= c.k1
+        weighted = bm25[in_k1] * np.where(stream[in_k1] < 2, c.title_unicode, c.text_unicode)
+        score = -c.alpha * part(weighted, weighted.min()) - (1 - c.alpha) * part(rank[in_k1], rank[in_k1].max())
+        near = np.lexsort((ids[in_k1], score))
+        once = np.sort(np.unique(ids[in_k1][near], return_index=True)[1])[: settings[0].k2]  # a page counts with its best score
+        judged = rel[in_k1][near[once]]
+        held = ~np.isnan(judged)
+        gain = lambda x, places: float((x / np.log2(places + 1)).sum())
+        rows.append((number, gain(judged[held], np.nonzero(held)[0] + 1), gain(judged[held], np.arange(1, held.sum() + 1))))
+    number, strict, loose = zip(*rows, strict=True)
+    key = pa.array([table.column("key")[0].as_py()] * len(rows), pa.string())
+    return pa.table({"key": key, "setting": pa.array(number, pa.int32()), "strict": pa.array(strict, pa.float64()), "loose": pa.array(loose, pa.float64())})
+
+
 def grid_search(index: search.SearchIndex, queries: DataFrame, qrels: DataFrame, settings: list[EngineConfig]) -> DataFrame:
     """``k1, title_weight, text_weight, alpha, queries`` and both means for each setting.
 
-    The streams are scored once, unweighted, with the largest k1 (a positive weight does not change a stream's order); settings join them.
+    The streams are scored once, unweighted, with the largest k1 (a positive weight does not change a stream's order). A query's
+    candidates meet in one task with what was judged of them, and every setting is weighed there, so neither they nor the judgements are copied for each setting.
     """
     spark = queries.sparkSession
     widest = replace(settings[0], k1=max(s.k1 for s in settings), title_unicode=1.0, title_trigram=1.0, text_unicode=1.0, text_trigram=1.0)
-    found = search.candidates(index, queries, False, widest).persist()
+    found = search.candidates(index, queries, False, widest)
     rows = [(i, s.k1, s.title_unicode, s.text_unicode, s.alpha) for i, s in enumerate(settings)]
     table = spark.createDataFrame(rows, "setting int, k1 int, title_weight double, text_weight double, alpha double")
-    place = F.row_number().over(Window.partitionBy("key", "stream").orderBy("bm25", "id"))
-    each = found.withColumn("place", place).join(F.broadcast(table), F.col("place") <= F.col("k1"))
-    weight = F.when(F.col("stream") < 2, F.col("title_weight")).otherwise(F.col("text_weight"))
-    each = each.withColumn("bm25", F.col("bm25") * weight)
-    every = Window.partitionBy("setting", "key")
-    part = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
-    rank = F.coalesce("rank1", F.lit(0.0))
-    score = -F.col("alpha") * part(F.col("bm25"), F.min("bm25").over(every)) - (1 - F.col("alpha")) * part(rank, F.max("rank1").over(every))
-    each = each.withColumn("score", score)
-    once = each.withColumn("r", F.row_number().over(Window.partitionBy("setting", "key", "id").orderBy("score", "stream"))).where("r = 1")
-    best = once.withColumn("position", F.row_number().over(every.orderBy("score", "id"))).where(F.col("position") <= settings[0].k2)
-    tag = lambda s, k: F.concat_ws("|", s.cast("string"), k)
-    results = best.select(tag(F.col("setting"), F.col("key")).alias("key"), "position", "title")
-    judged = table.select("setting").crossJoin(qrels).select(tag(F.col("setting"), F.col("key")).alias("key"), "title", "rel", "found")
-    asked = table.select("setting").crossJoin(queries.select("key")).select(tag(F.col("setting"), F.col("key")).alias("key"))
-    by_query = ndcg(results, judged.join(asked, "key", "left_semi"), settings[0].k2)
-    by_query = by_query.withColumn("setting", F.substring_index("key", "|", 1).cast("int"))
-    out = by_query.groupBy("setting").agg(F.count(F.lit(1)).alias("queries"), F.avg("ndcg_pessimistic").alias("ndcg_pessimistic"), F.avg("ndcg_optimistic").alias("ndcg_optimistic"))
+    judged = found.join(qrels.select("key", "title", F.col("rel").cast("double").alias("rel")), ["key", "title"], "left")
+    judged = judged.select("key", "stream", "id", "bm25", F.coalesce("rank1", F.lit(0.0)).alias("rank"), F.coalesce("rel", F.lit(float("nan"))).alias("rel"))
+    gains = judged.groupBy("key").applyInArrow(lambda t: _gains(t, settings), "key string, setting int, strict double, loose double")
+    ideal = _ideal(qrels, settings[0].k2).join(queries.select("key"), "key", "left_semi")
+    every = ideal.crossJoin(F.broadcast(table.select("setting"))).join(gains, ["setting", "key"], "left")
+    part = lambda c: F.avg(F.coalesce(F.col(c) / F.col("ideal"), F.lit(0.0)))
+    out = every.groupBy("setting").agg(F.count(F.lit(1)).alias("queries"), part("strict").alias("ndcg_pessimistic"), part("loose").alias("ndcg_optimistic"))
     return table.join(out, "setting", "left").drop("setting")
 
 

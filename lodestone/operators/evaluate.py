@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ARTICLE, DEFAULT, EngineConfig
+from ..functions.text import unicode_tokens
 from . import search
 
 
@@ -29,20 +30,34 @@ def _dcg(rows: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
     return rows.where(F.col("position") <= k).groupBy(*by).agg(F.sum(_gain(F.col("rel"), F.col("position"))).alias(name))
 
 
-def _ideal(qrels: DataFrame, k: int) -> DataFrame:
+def _ideal(qrels: DataFrame, k: int, alike: DataFrame | None = None) -> DataFrame:
     """``key, ideal`` of the found judgements, best first, of the queries where it is above zero."""
+    if alike is not None:  # no more than k of them can count
+        some = alike.where("n > 0").select("key", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("i"), "first")
+        some = some.select("key", F.concat_ws(" ", "first", "i").alias("title"), F.lit(1).alias("rel"), F.lit(True).alias("found"))
+        qrels = qrels.select("key", "title", "rel", "found").unionByName(some)
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rel"), "title"))
     return _dcg(qrels.where("found").withColumn("position", place), ["key"], k, "ideal").where("ideal > 0")
 
 
-def ndcg(results: DataFrame, qrels: DataFrame, k: int = DEFAULT.k2) -> DataFrame:
+def _judged(results: DataFrame, qrels: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """Results with ``rel``, null where nothing is judged."""
+    rows = results.join(qrels.select("key", "title", "rel"), ["key", "title"], "left")
+    if alike is None:
+        return rows
+    rows = rows.withColumn("first", F.get(unicode_tokens("title"), 0)).join(alike.select("key", "first", F.lit(1).alias("like")), ["key", "first"], "left")
+    return rows.withColumn("rel", F.greatest("rel", "like")).drop("first", "like")
+
+
+def ndcg(results: DataFrame, qrels: DataFrame, k: int = DEFAULT.k2, alike: DataFrame | None = None) -> DataFrame:
     """``key, ndcg_pessimistic, ndcg_optimistic`` of the queries with a found judgement above zero.
 
     ``results(key, position, title)``, ``qrels(key, title, rel, found)``. Unjudged results count as irrelevant, or (optimistic) are
-    left out and the others close up. The ideal is the found judgements, best first.
+    left out and the others close up. The ideal is the found judgements, best first. ``alike(key, first, n)`` judges results whose title begins with the
+    word ``first`` by 1, too, ``n`` of which are found beside ``qrels``: judgements by the thousand a query, which are never written one by one.
     """
-    ideal = _ideal(qrels, k)
-    judged = results.join(qrels.select("key", "title", "rel"), ["key", "title"], "left")
+    ideal = _ideal(qrels, k, alike)
+    judged = _judged(results, qrels, alike)
     strict = _dcg(judged.withColumn("rel", F.coalesce("rel", F.lit(0))), ["key"], k, "strict")
     closed = judged.where("rel IS NOT NULL").withColumn("position", F.row_number().over(Window.partitionBy("key").orderBy("position")))
     loose = _dcg(closed, ["key"], k, "loose")
@@ -85,7 +100,7 @@ def _gains(table: pa.Table, settings: list[EngineConfig]) -> pa.Table:
     return pa.table({"key": key, "setting": pa.array(number, pa.int32()), "strict": pa.array(strict, pa.float64()), "loose": pa.array(loose, pa.float64())})
 
 
-def grid_search(index: search.SearchIndex, queries: DataFrame, qrels: DataFrame, settings: list[EngineConfig]) -> DataFrame:
+def grid_search(index: search.SearchIndex, queries: DataFrame, qrels: DataFrame, settings: list[EngineConfig], alike: DataFrame | None = None) -> DataFrame:
     """``k1, title_weight, text_weight, alpha, queries`` and both means for each setting.
 
     The streams are scored once, unweighted, with the largest k1 (a positive weight does not change a stream's order). A query's
@@ -96,10 +111,11 @@ def grid_search(index: search.SearchIndex, queries: DataFrame, qrels: DataFrame,
     found = search.candidates(index, queries, False, widest)
     rows = [(i, s.k1, s.title_unicode, s.text_unicode, s.alpha) for i, s in enumerate(settings)]
     table = spark.createDataFrame(rows, "setting int, k1 int, title_weight double, text_weight double, alpha double")
-    judged = found.join(qrels.select("key", "title", F.col("rel").cast("double").alias("rel")), ["key", "title"], "left")
-    judged = judged.select("key", "stream", "id", "bm25", F.coalesce("rank1", F.lit(0.0)).alias("rank"), F.coalesce("rel", F.lit(float("nan"))).alias("rel"))
+    judged = _judged(found, qrels, alike).select(
+        "key", "stream", "id", "bm25", F.coalesce("rank1", F.lit(0.0)).alias("rank"), F.coalesce(F.col("rel").cast("double"), F.lit(float("nan"))).alias("rel")
+    )
     gains = judged.groupBy("key").applyInArrow(lambda t: _gains(t, settings), "key string, setting int, strict double, loose double")
-    ideal = _ideal(qrels, settings[0].k2).join(queries.select("key"), "key", "left_semi")
+    ideal = _ideal(qrels, settings[0].k2, alike).join(queries.select("key"), "key", "left_semi")
     every = ideal.crossJoin(F.broadcast(table.select("setting"))).join(gains, ["setting", "key"], "left")
     part = lambda c: F.avg(F.coalesce(F.col(c) / F.col("ideal"), F.lit(0.0)))
     out = every.groupBy("setting").agg(F.count(F.lit(1)).alias("queries"), part("strict").alias("ndcg_pessimistic"), part("loose").alias("ndcg_optimistic"))

@@ -14,7 +14,7 @@ from ..config import ARTICLE, DEFAULT, EngineConfig
 from ..functions.text import query_terms
 from ..storage import cut, shared_dir
 from . import matchquery, textindex
-from .textindex import TextIndex
+from .textindex import Looked, TextIndex
 
 #: Characters and words that make a raw query more than a list of words (see ``matchquery``).
 _SYNTAX = r"[^\w\s\x{80}-\x{10FFFF}]|(?:^|\s)(?:AND|OR|NOT)(?:\s|$)"
@@ -47,7 +47,7 @@ def stored(index: SearchIndex, folder: str | None = None) -> SearchIndex:
     return replace(index, **{name: getattr(index, name).stored(f"{folder}/{name}") for name in names})
 
 
-def idfs(index: TextIndex, queries: DataFrame) -> DataFrame:
+def idfs(index: TextIndex | Looked, queries: DataFrame) -> DataFrame:
     """``key, term, idf`` of the queries' terms, looked up as they stand; a term that no text holds has the largest double."""
     terms, held = textindex.small(queries.select("key", F.explode(query_terms(F.col("query"))).alias("term")))
     vocabulary = index.vocabulary()
@@ -93,38 +93,37 @@ def _raw(index: TextIndex, queries: DataFrame) -> DataFrame:
     return found if marked.isEmpty() else found.unionByName(matchquery.answered(index, marked))
 
 
-def _best_raw(index: TextIndex, narrow: TextIndex, queries: DataFrame, k: int, pages: DataFrame) -> DataFrame:
+def _best_raw(index: TextIndex, narrow: TextIndex | Looked, queries: DataFrame, k: int, pages: DataFrame) -> DataFrame:
     """``key, id, bm25`` of the best pages of the queries as ``_raw`` reads them; plain words are looked up in ``narrow``."""
     terms, marked = _parted(queries)
     found = textindex.best(narrow, terms, "bare", k, pages)
     return found if marked.isEmpty() else found.unionByName(matchquery.answered(index, marked).join(pages, "doc_id").select("key", "id", "bm25"))
 
 
-def _narrowed(index: SearchIndex, queries: DataFrame, names: list[str]) -> SearchIndex:
-    """The indexes of these names for the words of the queries, so that weights and streams share one pass over the texts."""
-    terms = queries.select("key", F.explode(query_terms(F.col("query"))).alias("term"))
-    made = {name: textindex.narrowed(getattr(index, name), textindex.phrases(terms, getattr(index, name).kind)) for name in names}
-    return replace(index, **made)
+def _looked(index: SearchIndex, queries: DataFrame, names: list[str]) -> dict[str, TextIndex | Looked]:
+    """The words of the queries looked up in the indexes of these names, so that weights and streams share one pass over the texts."""
+    terms = cut(queries.select("key", F.explode(query_terms(F.col("query"))).alias("term")))
+    return {name: textindex.looked(getattr(index, name), terms) for name in names}
 
 
 def candidates(index: SearchIndex, queries: DataFrame, interactive: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
     """The streams' best pages: ``key, stream, id, ns, title, text_id, bm25 (weighted), rank1, authority``."""
     pages = index.pages.where((F.col("ns") == ARTICLE) & F.col("text_id").isNotNull()).select("id", "ns", "title", "text_id", "rank1", "authority")
     by_id, by_text = pages.select(F.col("id").alias("doc_id"), "id"), pages.select(F.col("text_id").alias("doc_id"), "id")
-    here = _narrowed(index, queries, ["title_unicode", "title_trigram"] if interactive else ["title_unicode", "title_trigram", "text_unicode", "text_trigram"])
-    titles = cut(kept_terms(idfs(here.title_unicode, queries), config.idf_threshold).select("key", "term"))
+    here = _looked(index, queries, ["title_unicode", "title_trigram"] if interactive else ["title_unicode", "title_trigram", "text_unicode", "text_trigram"])
+    titles = cut(kept_terms(idfs(here["title_unicode"], queries), config.idf_threshold).select("key", "term"))
     if interactive:
         streams = [
-            (textindex.best(here.title_unicode, titles, "and", config.k1, by_id), config.title_unicode),
-            (textindex.best(here.title_trigram, titles, "and", config.k1, by_id), config.title_trigram),
+            (textindex.best(here["title_unicode"], titles, "and", config.k1, by_id), config.title_unicode),
+            (textindex.best(here["title_trigram"], titles, "and", config.k1, by_id), config.title_trigram),
         ]
     else:
-        texts = cut(kept_terms(idfs(here.text_unicode, queries), config.idf_threshold).select("key", "term"))
+        texts = cut(kept_terms(idfs(here["text_unicode"], queries), config.idf_threshold).select("key", "term"))
         streams = [
-            (textindex.best(here.title_unicode, titles, "or", config.k1, by_id), config.title_unicode),
-            (_best_raw(index.title_trigram, here.title_trigram, queries, config.k1, by_id), config.title_trigram),
-            (textindex.best(here.text_unicode, texts, "and", config.k1, by_text), config.text_unicode),
-            (_best_raw(index.text_trigram, here.text_trigram, queries, config.k1, by_text), config.text_trigram),
+            (textindex.best(here["title_unicode"], titles, "or", config.k1, by_id), config.title_unicode),
+            (_best_raw(index.title_trigram, here["title_trigram"], queries, config.k1, by_id), config.title_trigram),
+            (textindex.best(here["text_unicode"], texts, "and", config.k1, by_text), config.text_unicode),
+            (_best_raw(index.text_trigram, here["text_trigram"], queries, config.k1, by_text), config.text_trigram),
         ]
     found = reduce(DataFrame.unionByName, [_top(rows, weight, config.k1, stream) for stream, (rows, weight) in enumerate(streams)])
     return found.join(pages, "id").select("key", "stream", "id", "ns", "title", "text_id", "bm25", "rank1", "authority")

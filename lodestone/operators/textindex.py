@@ -5,7 +5,8 @@ all its tokens stand one after another, so the places of its tokens, shifted by
 phrase's trigrams every third and the last are enough, as they cover its characters. Many queries run in one plan; every table of matches is keyed
 by query. Scores need nothing but postings and two numbers. A stored index is sorted by term, so that the tokens of a few
 queries, pushed to the scan, leave most row groups unread. An index that is not stored is made only for the tokens that are asked
-(``narrowed``), in one pass over the texts that shuffles nothing.
+(``narrowed``), in one pass over the texts that shuffles nothing; for the best pages of many queries the same pass counts their phrases (``looked``),
+a row a text, so no places are kept.
 """
 
 from __future__ import annotations
@@ -280,7 +281,7 @@ def matched(index: TextIndex, tokens: DataFrame) -> DataFrame:
     return alone.unionByName(several.where("f > 0"))
 
 
-def _mean(index: TextIndex) -> float:
+def _mean(index: TextIndex | Looked) -> float:
     return index.total / index.n if index.n and index.total else 1.0
 
 
@@ -348,7 +349,167 @@ def _best_here(batches: Iterable[pa.RecordBatch], groups: list[list[int]], idf:
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.concatenate([x for _, x, _ in out])), pa.array(np.concatenate([t for _, _, t in out]))], names=["group", "id", "bm25"])
 
 
-def best(index: TextIndex, terms: DataFrame, mode: str, k: int, pages: DataFrame) -> DataFrame:
+_SPACES = " \t\n\v\f\r"
+
+
+def _patterns(kind: str, term: Column) -> Column:
+    """The tokens in a row that a term stands for; of a trigram index the term itself, which its trigrams cover. None for a term without tokens."""
+    if kind == "unicode":
+        return unicode_tokens(term)
+    return F.when(F.length(lowered(term)) > 2, F.array(lowered(term))).otherwise(F.array().cast("array<string>"))
+
+
+class _InWords:
+    """The patterns inside words, and how often (they may overlap); what is known of a word is kept for the next batch."""
+
+    MOST = 1 << 18
+
+    def __init__(self, patterns: dict[str, int]):
+        self.patterns, self.known = patterns, {}
+        self.lengths: dict[str, list[int]] = {}
+        for start, n in sorted({(p[:3], len(p)) for p in patterns}):
+            self.lengths.setdefault(start, []).append(n)
+
+    def __getitem__(self, word: str) -> list[tuple[int, int]]:
+        found = self.known.get(word)
+        if found is None:
+            counts: dict[int, int] = {}
+            for i in range(len(word) - 2):
+                for n in self.lengths.get(word[i : i + 3], ()):
+                    number = self.patterns.get(word[i : i + n]) if i + n <= len(word) else None
+                    if number is not None:
+                        counts[number] = counts.get(number, 0) + 1
+            found = list(counts.items())
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+
+def _summed(doc: np.ndarray, phrase: np.ndarray, f: np.ndarray, phrases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's phrases once, with all their counts, by text."""
+    key = doc * max(1, phrases) + phrase
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.nonzero(np.diff(key, prepend=-1))[0]
+    key, f = key[first], np.add.reduceat(f[order], first) if len(first) else f[:0]
+    return key // max(1, phrases), key % max(1, phrases), f
+
+
+def _in_row(doc: np.ndarray, codes: np.ndarray, number: dict[str, int], rows: dict[tuple[str, ...], int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``doc, phrase, f`` of the phrases of several tokens that stand in a row."""
+    for tokens, phrase in rows.items():
+        wanted = [number.get(t, -1) for t in tokens]
+        if min(wanted) < 0 or len(codes) < len(wanted):
+            continue
+        n = len(codes) - len(wanted) + 1
+        at = np.nonzero(codes[:n] == wanted[0])[0]
+        for i, code in enumerate(wanted[1:], 1):
+            at = at[codes[at + i] == code]
+        at = at[doc[at] == doc[at + len(wanted) - 1]]
+        yield doc[at], np.full(len(at), phrase), np.ones(len(at), np.int64)
+
+
+_HELD = pa.list_(pa.struct([("phrase", pa.int32()), ("f", pa.int64())]))
+
+
+def _looked(batches: Iterable[pa.RecordBatch], kind: str, patterns: list[tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, size, held`` of each of ``doc_id, made`` (tokens, or a lower-case text): the phrases in it and how often."""
+    single = {p[0]: i for i, p in enumerate(patterns) if len(p) == 1}
+    rows = {p: i for i, p in enumerate(patterns) if len(p) > 1}
+    spaced = {p: i for p, i in single.items() if any(c in p for c in _SPACES)} if kind == "trigram" else {}
+    inside = _InWords({p: i for p, i in single.items() if p not in spaced})
+    for batch in batches:
+        made = batch.column(1)
+        lengths = (pc.list_value_length(made) if kind == "unicode" else pc.utf8_length(made)).to_numpy().astype(np.int64)
+        for a, b in _pieces(lengths):
+            part, ids = made.slice(a, b - a), batch.column(0).slice(a, b - a)
+            words = part if kind == "unicode" else pc.ascii_split_whitespace(part)
+            coded = words.flatten().dictionary_encode()
+            doc, _ = _places(pc.list_value_length(words).to_numpy().astype(np.int64))
+            codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            holds = [inside[w] for w in names] if kind == "trigram" else [[(single[w], 1)] if w in single else [] for w in names]
+            many = np.array([len(h) for h in holds], np.int64)
+            flat = np.array([x for h in holds for x in h], np.int64).reshape(-1, 2)
+            some = np.nonzero(many[codes])[0] if len(codes) else codes
+            at, code, f = _summed(doc[some], codes[some], np.ones(len(some), np.int64), len(names))
+            row, place = _places(many[code])
+            place += (np.cumsum(many) - many)[code][row]
+            found = [(at[row], flat[place, 0], flat[place, 1] * f[row])]
+            if rows:
+                found.extend(_in_row(doc, codes, {w: i for i, w in enumerate(names)}, rows))
+            for p, number in spaced.items():
+                often = np.array([sum(text.startswith(p, i) for i in range(len(text))) if p in text else 0 for text in part.to_pylist()], np.int64)
+                found.append((np.nonzero(often)[0], np.full(np.count_nonzero(often), number), often[often > 0]))
+            at, phrase, f = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)), len(patterns))
+            ends = np.searchsorted(at, np.arange(b - a + 1)).astype(np.int32)
+            held = pa.StructArray.from_arrays([pa.array(phrase, pa.int32()), pa.array(f, pa.int64())], fields=list(_HELD.value_type))
+            size = lengths[a:b] if kind == "unicode" else np.maximum(lengths[a:b] - 2, 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), held, type=_HELD)], names=["doc_id", "size", "held"])
+
+
+@dataclass(frozen=True)
+class Looked:
+    """Terms looked up in an index: ``rows(doc_id, size, held)`` of the texts, ``held`` being the numbers of the phrases in a text and how often. ``number`` of a term,
+    None for one without tokens; ``stands``, of one that is a token as it stands; ``counts``, the texts that hold each."""
+
+    rows: DataFrame
+    number: dict[str, int | None]
+    stands: dict[str, int]
+    counts: np.ndarray
+    n: int
+    total: int
+
+    def vocabulary(self) -> DataFrame:
+        """``term, doc`` of the terms that are tokens of some text as they stand."""
+        known = [(t, int(self.counts[i])) for t, i in self.stands.items() if self.counts[i]]
+        return self.rows.sparkSession.createDataFrame(known, "term string, doc long")
+
+
+def looked(index: TextIndex | Looked, terms: DataFrame) -> Looked | TextIndex:
+    """What an index holds of the ``term`` rows, in one pass over the texts or the stored postings; the index as it is, if terms are more than ``SMALL_ROWS``."""
+    if isinstance(index, Looked):
+        return index
+    _, held = small(terms.select("term").distinct())
+    if held is None:
+        return index
+    spark = terms.sparkSession
+    asked = spark.createDataFrame(held, "term string").select("term", _patterns(index.kind, F.col("term")).alias("p")).collect()
+    numbers: dict[tuple[str, ...], int] = {}
+    number = {r["term"]: numbers.setdefault(tuple(r["p"]), len(numbers)) if r["p"] else None for r in asked}
+    stands = {t: numbers.setdefault((t,), len(numbers)) for t in number} if index.kind == "unicode" else {}
+    patterns = list(numbers)
+    if index.texts is None:
+        parts = [(str(i), " ".join(p), _tokens_of(index.kind, p)) for i, p in enumerate(patterns)]
+        tokens = [(key, phrase, len(each), *x) for key, phrase, each in parts for x in each]
+        tokens = spark.createDataFrame(tokens, "key string, phrase string, tokens int, place int, token string")
+        found = matched(index, tokens).select(F.col("key").cast("int").alias("phrase"), "f", "doc_id", "size")
+        rows = cut(found.groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("phrase", "f")).alias("held")))
+        n, total = index.n, index.total
+    else:
+        body = F.coalesce("body", F.lit(""))
+        made = unicode_tokens(body) if index.kind == "unicode" else lowered(body)
+        kind = index.kind
+        texts = index.texts.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made"))
+        rows = cut(texts.mapInArrow(lambda batches: _looked(batches, kind, patterns), "doc_id long, size int, held array<struct<phrase: int, f: bigint>>"))
+        row = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).first()
+        n, total = row["n"], row["t"] or 0
+        rows = rows.where(F.size("held") > 0)
+    counts = np.zeros(len(patterns))
+    for r in rows.select(F.explode("held.phrase").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["phrase"]] = r["n"]
+    return Looked(rows, number, stands, counts, n, total)
+
+
+def _tokens_of(kind: str, pattern: tuple[str, ...]) -> list[tuple[int, str]]:
+    """``place, token`` of what is looked up for a pattern in stored postings (see ``phrases``)."""
+    if kind == "unicode":
+        return list(enumerate(pattern))
+    last = len(pattern[0]) - 3
+    return [(i, pattern[0][i : i + 3]) for i in range(last + 1) if i % 3 == 0 or i == last]
+
+
+def best(index: TextIndex | Looked, terms: DataFrame, mode: str, k: int, pages: DataFrame) -> DataFrame:
     """``key, id, bm25``: for each key the ``k`` best (then least) of ``pages(doc_id, id)`` whose texts match, as ``bm25`` has them.
 
     Each term is looked up once, however many keys have it, and keys with the same terms are one group. The phrases of a text come together in one row, and a task
@@ -357,32 +518,21 @@ def best(index: TextIndex, terms: DataFrame, mode: str, k: int, pages: DataFrame
     place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("bm25", "id"))
     first = lambda rows, by: rows.withColumn("__r", place(by)).where(F.col("__r") <= k).drop("__r")
     _, held = small(terms.select("key", "term").distinct())
-    if held is None:
+    index = index if held is None else looked(index, terms)
+    if held is None or isinstance(index, TextIndex):
         return first(bm25(index, terms, mode).join(pages, "doc_id").select("key", "id", "bm25"), "key")
-    spark = terms.sparkSession
-    names = sorted({r["term"] for r in held})
-    tokens = phrases(spark.createDataFrame([(str(i), t) for i, t in enumerate(names)], "key string, term string"), index.kind)
-    looked = tokens.collect()
-    tokens = spark.createDataFrame(looked, tokens.schema)
-    kept = {int(r["key"]) for r in looked}
-    number = {t: i for i, t in enumerate(names)}
-    by_key: dict[str, set[int]] = {}
+    by_key: dict[str, set[int | None]] = {}
     for r in held:
-        by_key.setdefault(r["key"], set()).add(number[r["term"]])
+        by_key.setdefault(r["key"], set()).add(index.number[r["term"]])
     asked: dict[tuple[int, ...], int] = {}
     keys = []
     for key, members in by_key.items():
-        found = tuple(sorted(members & kept))
-        if found and (mode != "and" or members <= kept):
+        found = tuple(sorted(members - {None}))
+        if found and (mode != "and" or None not in members):
             keys.append((key, asked.setdefault(found, len(asked))))
-    index = narrowed(index, tokens)
-    rows = cut(matched(index, tokens).select(F.col("key").cast("int").alias("phrase"), "f", "doc_id", "size"))
-    counts = {r["phrase"]: r["n"] for r in rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = np.array([counts.get(i, 0) for i in range(len(names))], np.float64)
-    raw = np.log(np.maximum(index.n - n + 0.5, 0.5) / (n + 0.5))
+    raw = np.log(np.maximum(index.n - index.counts + 0.5, 0.5) / (index.counts + 0.5))
     idf, groups, mean, every = np.where(raw > 0, raw, LEAST_IDF), [list(g) for g in asked], _mean(index), mode != "or"
-    texts = rows.groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_list(F.struct("phrase", "f")).alias("held"))
-    here = texts.join(pages.select("doc_id", "id"), "doc_id").select("id", "size", "held")
+    here = index.rows.join(pages.select("doc_id", "id"), "doc_id").select("id", "size", "held")
     here = here.mapInArrow(lambda batches: _best_here(batches, groups, idf, mean, every, k), "group int, id long, bm25 double")
-    grouped = spark.createDataFrame(keys, "key string, group int")
+    grouped = terms.sparkSession.createDataFrame(keys, "key string, group int")
     return first(here, "group").join(F.broadcast(grouped), "group").select("key", "id", "bm25")

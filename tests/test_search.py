@@ -175,3 +175,44 @@ def test_operators_read_texts_without_shuffling_an_index(spark, monkeypatch):
     asked = spark.createDataFrame([("a", "newton NOT kn*")], "key string, query string")
     assert {r["doc_id"] for r in matchquery.answered(made, asked).collect()} == {1, 2, 10}
     assert seen == [(["newton"], ["kn"])]
+
+
+@pytest.mark.parametrize("kind", ["unicode", "trigram"])
+@pytest.mark.parametrize("stored", [False, True])
+def test_terms_looked_up_in_texts_are_those_of_bm25(spark, tmp_path, kind, stored):
+    """Phrases of several tokens, with spaces, that overlap themselves or lie in each other; empty texts count for the mean. No places are kept."""
+    rng = random.Random(7)
+    words = ["eriner", "erineriner", "o'brien", "brien", "o", "aaaa", "aa", "x\ty", "É", "thanea"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 8))) for _ in range(80)] + ["", None]
+    asked = ["eriner", "iner", "o'brien", "aaa", "aa", "riner eri", "x\ty", "é", "!!", "nowhere"]
+    terms = spark.createDataFrame([(t, t) for t in asked], "key string, term string")
+    pages = spark.createDataFrame([(i, i) for i in range(1, len(rows) + 1)], "doc_id long, id long")
+    made = index(spark, rows, kind)
+    made = made.stored(f"file://{tmp_path}/i") if stored else made
+    seen = textindex.looked(made, terms)
+    assert isinstance(seen, textindex.Looked) and "places" not in str(seen.rows.schema)
+    want = {(r["key"], r["doc_id"]): r["bm25"] for r in textindex.bm25(made, terms, "and").collect()}
+    got = {(r["key"], r["id"]): r["bm25"] for r in textindex.best(seen, terms, "and", 100, pages).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    if kind == "trigram":
+        once = fts([r or "" for r in rows], kind, '"eriner"')
+        assert {i: got["eriner", i] for i in once} == pytest.approx(once)
+
+
+def test_titles_that_start_alike_are_judged_without_a_row_each(spark):
+    """A search's nDCGs are those of judgements written out, which are as many as the square of the pages."""
+    from lodestone.plans import registry
+
+    rows = [(i, 0 if i % 11 else 14, f"{'the' if i % 3 else 'of'} x{i} [{i}]", i if i % 7 else None) for i in range(400)]
+    pages = spark.createDataFrame(rows, "id long, ns int, title string, text_id long")
+    queries, judged, alike = registry.judgements(pages)
+    asked = [r for r in rows if r[1] == 0 and r[3] is not None and r[0] % 50 == 0]
+    assert judged.count() == 2 * len(asked) and alike.count() == len(asked) == queries.count()
+    near = [r[2] for r in rows if r[1] == 0 and r[3] is not None]
+    every = [(f"syn-{r[0]}", t, 2 if t == r[2] else 1, True) for r in asked for t in near if t[:2] == r[2][:2]]
+    every = spark.createDataFrame(every, "key string, title string, rel int, found boolean")
+    found = [(f"syn-{r[0]}", p, t) for r in asked for p, t in enumerate(random.Random(r[0]).sample([*near, r[2]], 10), 1)]
+    found = spark.createDataFrame(found, "key string, position int, title string")
+    ordered = lambda x: [tuple(r) for r in x.orderBy("key").collect()]
+    got, want = ordered(evaluate.ndcg(found, judged, alike=alike)), ordered(evaluate.ndcg(found, every))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(math.isclose(a, b) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
